@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["stats"]
+_MODULES = ["stats", "interactions"]
 
 
 def texts() -> dict[str, str]:

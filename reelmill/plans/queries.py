@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.operators import stats
+from reelmill.operators import interactions, samples, stats
 from reelmill.sources.catalog import Catalog, from_fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,111 @@ def _(cat):
 @query("movie_rating_rollup")
 def _(cat):
     return stats.movie_rating_rollup(cat)
+
+
+# --- interactions and samples ---------------------------------------------------
+
+STAMP = "yyyy-MM-dd HH:mm:ss"
+
+
+def stamped(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.date_format(n, STAMP) for n in names})
+
+
+@query("interactions_union")
+def _(cat):
+    return stamped(interactions.interactions(cat), "ts")
+
+
+@query("interactions_recent")
+def _(cat):
+    return stamped(interactions.recent_interactions(interactions.interactions(cat), 2000, 2000), "ts")
+
+
+@query("interaction_summary")
+def _(cat):
+    return interactions.interaction_summary(interactions.interactions(cat))
+
+
+@query("cf_pair_weights")
+def _(cat):
+    return interactions.cf_pair_weights(interactions.interactions(cat)).withColumns(r6("weight"))
+
+
+@query("implicit_pair_strength")
+def _(cat):
+    return stamped(interactions.implicit_strength(interactions.interactions(cat)), "last_ts").withColumns(r6("weight"))
+
+
+@query("rank_labels_binary")
+def _(cat):
+    return stamped(interactions.binary_labels(interactions.interactions(cat), None), "ts").withColumns(r6("strength"))
+
+
+@query("rank_labels_multitask")
+def _(cat):
+    return interactions.multitask_labels(interactions.interactions(cat))
+
+
+@query("kcore_filter")
+def _(cat):
+    return stamped(samples.kcore(interactions.interactions(cat), min_user=38, min_item=36), "ts")
+
+
+@query("negatives_global")
+def _(cat):
+    return samples.global_negatives(interactions.multitask_labels(interactions.interactions(cat)))
+
+
+@query("negatives_pairwise")
+def _(cat):
+    return samples.pairwise_negatives(interactions.implicit_strength(interactions.interactions(cat)), cat.movie)
+
+
+@query("weighted_resample")
+def _(cat):
+    return samples.weighted_resample(interactions.implicit_strength(interactions.interactions(cat)), None)
+
+
+@query("holdout_last")
+def _(cat):
+    pairs = interactions.implicit_strength(interactions.interactions(cat))
+    return samples.leave_last_out(pairs).select("user_id", "movie_id", F.round("weight", 6).alias("weight"), "fold")
+
+
+def _split(cat, **how):
+    rows = interactions.binary_labels(interactions.interactions(cat), None)
+    return samples.split(rows, ["user_id", "movie_id"], **how)
+
+
+@query("split_random")
+def _(cat):
+    return _split(cat).select("user_id", "movie_id", "fold")
+
+
+@query("split_stratified")
+def _(cat):
+    return _split(cat, by="label", mode="stratified").select("user_id", "movie_id", "label", "fold")
+
+
+@query("split_group")
+def _(cat):
+    return _split(cat, by="user_id", mode="group").select("user_id", "movie_id", "fold")
+
+
+@query("vocab_index")
+def _(cat):
+    ix = interactions.interactions(cat)
+    parts = {
+        "movie": samples.vocabulary(cat.movie.select("movie_id").unionByName(ix.select("movie_id")), "movie_id"),
+        "user": samples.vocabulary(ix, "user_id"),
+        "tag": samples.vocabulary(cat.movie_tag, "tag_id", first_index=2),
+    }
+    named = [df.select(F.lit(kind).alias("kind"), "id", "idx") for kind, df in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query("label_distribution")
+def _(cat):
+    rows = interactions.multitask_labels(interactions.interactions(cat))
+    return samples.label_distribution(rows, ["click", "collect", "comment", "rating"]).withColumns(r6("weight"))
