@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.operators import interactions, samples, stats
+from reelmill.operators import features, interactions, samples, stats
 from reelmill.sources.catalog import Catalog, from_fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,104 @@ def _(cat):
 def _(cat):
     rows = interactions.multitask_labels(interactions.interactions(cat))
     return samples.label_distribution(rows, ["click", "collect", "comment", "rating"]).withColumns(r6("weight"))
+
+
+# --- features ---------------------------------------------------------------------
+
+
+def listed(df: DataFrame, *names: str) -> DataFrame:
+    """Arrays as comma-separated text, which compares alike everywhere."""
+    return df.withColumns({n: F.array_join(n, ",") for n in names})
+
+
+def samples4(cat: Catalog) -> DataFrame:
+    rows = interactions.multitask_labels(interactions.interactions(cat))
+    return rows.select("user_id", "movie_id", "source", "recall_score")
+
+
+@query("lookup_semi")
+def _(cat):
+    return features.lookup(cat.movie, cat.user_collect_movie, "movie_id").select("movie_id", "title", "status")
+
+
+@query("movie_base_features")
+def _(cat):
+    return features.movie_base(cat).withColumns(r6("rating_avg"))
+
+
+@query("item_stats_vector")
+def _(cat):
+    rows = features.item_stats(cat)
+    return rows.withColumns(r6(*[c for c in rows.columns if c != "movie_id"]))
+
+
+@query("item_tags_top")
+def _(cat):
+    return listed(features.item_tags(cat), "tag_ids")
+
+
+@query("item_static_tags")
+def _(cat):
+    return listed(features.item_static_tags(cat), "tag_ids")
+
+
+@query("user_profile_buckets")
+def _(cat):
+    return features.user_profile(cat).drop("profession_bucket")
+
+
+@query("user_profession_bucket")
+def _(cat):
+    return features.user_profile(cat).select("user_id", "profession_bucket")
+
+
+@query("user_recent_sequence")
+def _(cat):
+    return listed(features.recent_sequence(cat, 10), "movie_ids")
+
+
+@query("user_short_history")
+def _(cat):
+    return listed(features.short_history(cat), "movie_ids")
+
+
+@query("user_long_interest_tags")
+def _(cat):
+    return listed(features.long_interest_tags(cat), "tag_ids")
+
+
+@query("user_static_tag_ctr")
+def _(cat):
+    return features.static_tag_ctr(cat, samples4(cat)).withColumns(r6("user_static_tag_ctr"))
+
+
+@query("feature_zscore")
+def _(cat):
+    names = ["rating_avg", "rating_count", "year", "duration_min", "comment_count", "click_count"]
+    rows = features.movie_base(cat).join(stats.movie_activity(cat), "movie_id").select("movie_id", *names)
+    return features.apply_zscore(rows, features.fit_zscore(rows, names), names).withColumns(r6(*names))
+
+
+@query("feature_movie")
+def _(cat):
+    return listed(features.movie_feature_table(cat), "tag_ids").withColumns(r6("rating_avg"))
+
+
+@query("feature_user")
+def _(cat):
+    return stamped(listed(features.user_feature_table(cat), "tag_ids"), "created_at")
+
+
+@query("rank_matrix_multitask")
+def _(cat):
+    return features.rank_matrix(cat, samples4(cat)).withColumns(r6("recall_score", "movie_rating_avg", "user_static_tag_ctr"))
+
+
+@query("rank_matrix_binary")
+def _(cat):
+    rows = samples4(cat).withColumn("req_n", F.lit(500))
+    return (
+        features.rank_matrix(cat, rows, "binary")
+        .select("user_id", "movie_id", *features.BINARY_FEATURES)
+        .withColumns(r6("recall_score", "movie_rating_avg", "movie_log_rating_cnt"))
+    )
