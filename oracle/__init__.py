@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["stats", "interactions", "features"]
+_MODULES = ["stats", "interactions", "features", "recall", "evaluation"]
 
 
 def texts() -> dict[str, str]:

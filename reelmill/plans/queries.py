@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.operators import features, interactions, samples, stats
+from reelmill.operators import delivery, evaluation, features, interactions, ranking, recall, samples, stats
+from reelmill.plans.recommend import Recommender
+from reelmill.session import cut_lineage
 from reelmill.sources.catalog import Catalog, from_fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,3 +277,140 @@ def _(cat):
         .select("user_id", "movie_id", *features.BINARY_FEATURES)
         .withColumns(r6("recall_score", "movie_rating_avg", "movie_log_rating_cnt"))
     )
+
+
+# --- recall, ranking, delivery --------------------------------------------------------
+
+
+def _tag_recall(cat: Catalog) -> recall.TagRecall:
+    return recall.TagRecall(
+        index=stats.tag_index(cat, depth=50),
+        prefs=recall.top_prefs(cat, n=20, recent=20),
+        excluded=recall.excluded_items(cat, 20),
+        per_key=20,
+        n=20,
+    )
+
+
+def _item_vectors(cat: Catalog) -> DataFrame:
+    return cat.movie_embeddings.filter(F.size("vec") > 0).select("movie_id", "vec")
+
+
+def _vector_recall(cat: Catalog) -> recall.VectorRecall:
+    return recall.VectorRecall(
+        users=cat.user_vectors, items=_item_vectors(cat), excluded=recall.excluded_items(cat, 20), k=10, n=10
+    )
+
+
+def _requests(cat: Catalog) -> DataFrame:
+    return cat.user.select("user_id")
+
+
+def _merged(cat: Catalog) -> DataFrame:
+    return recall.merge_candidates([r.recall(_requests(cat)) for r in (_tag_recall(cat), _vector_recall(cat))])
+
+
+def _cf_ranker(cat: Catalog) -> ranking.ItemCFRanker:
+    return ranking.ItemCFRanker(interactions.cf_pair_weights(interactions.interactions(cat)))
+
+
+@query("user_genre_preferences")
+def _(cat):
+    return recall.genre_prefs(cat)
+
+
+@query("user_director_preferences")
+def _(cat):
+    return recall.director_prefs(cat, recent=20)
+
+
+@query("user_top_preferences")
+def _(cat):
+    return recall.top_prefs(cat, recent=20)
+
+
+@query("user_excluded_items")
+def _(cat):
+    return recall.excluded_items(cat, 20)
+
+
+@query("recall_tag")
+def _(cat):
+    return _tag_recall(cat).recall(_requests(cat)).withColumns(r6("score"))
+
+
+@query("recall_vector")
+def _(cat):
+    return _vector_recall(cat).recall(_requests(cat)).withColumns(r6("score"))
+
+
+@query("recall_merged")
+def _(cat):
+    return _merged(cat).withColumns(r6("score"))
+
+
+@query("minmax_scale")
+def _(cat):
+    return ranking.minmax(_merged(cat), ["score"], "user_id").withColumns(r6("score"))
+
+
+@query("rank_fallback")
+def _(cat):
+    return ranking.with_rank(ranking.FallbackRanker().rank(_merged(cat))).withColumns(r6("score"))
+
+
+@query("rank_item_cf")
+def _(cat):
+    candidates = cut_lineage(_merged(cat))
+    return ranking.with_rank(_cf_ranker(cat).rank(candidates)).withColumns(r6("score"))
+
+
+@query("rerank_shuffle")
+def _(cat):
+    return delivery.deliver(_merged(cat), delivery.SeededShuffle(0))
+
+
+def _recommended(cat: Catalog) -> DataFrame:
+    flow = Recommender([_tag_recall(cat), _vector_recall(cat)], _cf_ranker(cat), n=30)
+    return flow.recommend(_requests(cat))
+
+
+@query("recommend_users")
+def _(cat):
+    return _recommended(cat)
+
+
+@query("recommend_page")
+def _(cat):
+    return listed(delivery.page(_recommended(cat), 2, 10), "items")
+
+
+# --- evaluation --------------------------------------------------------------------------
+
+
+def _scores(cat: Catalog) -> DataFrame:
+    return stats.search_stats(cat).select("movie_id", F.round("bayesian_rating", 6).alias("score"))
+
+
+@query("auc_exact")
+def _(cat):
+    rows = interactions.binary_labels(interactions.interactions(cat), None).join(_scores(cat), "movie_id", "left")
+    return evaluation.auc(rows.fillna(0.0, ["score"]), "label", "score").withColumns(r6("auc"))
+
+
+@query("auc_by_task")
+def _(cat):
+    tasks = ["click", "collect", "comment", "rating"]
+    rows = samples.with_negatives(interactions.multitask_labels(interactions.interactions(cat)))
+    rows = rows.join(_scores(cat), "movie_id", "left").fillna(0.0, ["score"])
+    long = rows.select("score", F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).alias("label")) for t in tasks])).alias("t"))
+    per_task = evaluation.auc(long.select("score", "t.task", "t.label"), "label", "score", ["task"])
+    mean = evaluation.mean_auc(per_task).select(F.lit("mean").alias("task"), "auc")
+    return per_task.unionByName(mean).withColumns(r6("auc"))
+
+
+@query("hit_rate_at_k")
+def _(cat):
+    pairs = samples.leave_last_out(interactions.implicit_strength(interactions.interactions(cat)))
+    train, test = pairs.filter(F.col("fold") == "train"), pairs.filter(F.col("fold") == "test")
+    return evaluation.hit_rate(cat.user_vectors, _item_vectors(cat), train, test).withColumns(r6("hr"))
