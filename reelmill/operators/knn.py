@@ -20,8 +20,8 @@ QUERY_STEP = 512
 TIE = 1e-12
 
 
-def block_count(df: DataFrame, block_rows: int) -> int:
-    return max(1, -(-df.count() // block_rows))
+def block_count(df: DataFrame, block_rows: int, least: int = 1) -> int:
+    return max(least, -(-df.count() // block_rows))
 
 
 def meet(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_key: str, block_rows: int):

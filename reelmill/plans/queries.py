@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.operators import delivery, evaluation, features, interactions, ranking, recall, samples, stats
+from reelmill.operators import delivery, evaluation, features, interactions, ranking, recall, samples, search, stats
 from reelmill.plans.recommend import Recommender
 from reelmill.session import cut_lineage
 from reelmill.sources.catalog import Catalog, from_fixture
@@ -414,3 +415,60 @@ def _(cat):
     pairs = samples.leave_last_out(interactions.implicit_strength(interactions.interactions(cat)))
     train, test = pairs.filter(F.col("fold") == "train"), pairs.filter(F.col("fold") == "test")
     return evaluation.hit_rate(cat.user_vectors, _item_vectors(cat), train, test).withColumns(r6("hr"))
+
+
+# --- search -----------------------------------------------------------------------------------
+
+TEXT_COLUMNS = ["movie_id", "title", "summary", "rating_count"]
+
+
+def _asked(cat: Catalog) -> DataFrame:
+    return cat.search_requests.filter(F.trim("query") != "").select("request_id", "query")
+
+
+@query("search_browse")
+def _(cat):
+    p = search.normalise_request(
+        tag_ids=[3, 8, 30, 8], start_date=date(2023, 3, 1), end_date=date(2023, 12, 31), duration_min=40, duration_max=180
+    )
+    return search.browse(cat, p).select("movie_id", "score")
+
+
+@query("search_fulltext")
+def _(cat):
+    return search.fulltext_scores(search.searchable(cat), _asked(cat)).withColumns(r6("score"))
+
+
+@query("search_like")
+def _(cat):
+    return search.like_scores(search.searchable(cat).select(*TEXT_COLUMNS), _asked(cat)).withColumns(r6("score"))
+
+
+@query("search_auto")
+def _(cat):
+    return search.search_batch(cat, cat.search_requests).withColumns(r6("score"))
+
+
+def _sorted_page(mode: str, order: str):
+    def build(cat: Catalog) -> DataFrame:
+        page, _ = search.search(cat, search.normalise_request(sort_by=mode, sort_order=order))
+        return page.select("movie_id", "score", "pos")
+
+    return build
+
+
+query("search_sort_rating")(_sorted_page("rating", "desc"))
+query("search_sort_collect")(_sorted_page("favourite", "desc"))
+query("search_sort_duration")(_sorted_page("duration", "asc"))
+query("search_sort_time")(_sorted_page("release_date", "desc"))
+
+
+@query("search_page")
+def _(cat):
+    page, total = search.search(cat, search.normalise_request(n=7, offset=3, sort_by="rating", sort_order="asc"))
+    return page.withColumn("total", total.scalar()).withColumns(r6("rating_avg", "bayesian_rating"))
+
+
+@query("search_request_modes")
+def _(cat):
+    return search.request_modes(cat.raw_requests, cat.as_of.date())
