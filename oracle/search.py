@@ -4,7 +4,7 @@ MOVIES = f"""(SELECT m.*, s.collect_count, s.bayesian_rating FROM fx_movie m LEF
 WHERE m.status = 'published' AND m.deleted_at IS NULL)"""
 ASKED = "(SELECT request_id, trim(query) AS query, sort_by, sort_order FROM fx_search_requests WHERE trim(query) <> '')"
 
-TERMS = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'), w -> w <> '')"
+TERMS = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 TEXT = "concat_ws(' ', coalesce(title, ''), coalesce(summary, ''))"
 
 FULL_STEPS = f"""movies AS MATERIALIZED (SELECT * FROM {MOVIES} m), asked AS MATERIALIZED (SELECT * FROM {ASKED} a),
@@ -17,7 +17,7 @@ fulltext AS MATERIALIZED (SELECT q.request_id, t.movie_id, sum(t.tf * i.idf * i.
 
 
 def like_steps(requests: str, name: str) -> str:
-    words = r"list_distinct(list_filter(regexp_split_to_array({q}, '\s+'), w -> w <> ''))".format(q="query")
+    words = r"list_distinct(list_filter(regexp_split_to_array({q}, '\s+'), lambda w: w <> ''))".format(q="query")
     hit = lambda f, p: f"(lower(coalesce(m.{f}, '')) LIKE '%' || lower({p}) || '%')"
     return f"""{name}_token AS MATERIALIZED (SELECT request_id, query, unnest({words}) AS token FROM {requests} a),
 {name}_hit AS MATERIALIZED (SELECT t.token, m.movie_id, {hit('title', 't.token')} AS in_title FROM (SELECT DISTINCT token FROM {name}_token) t CROSS JOIN movies m
@@ -93,7 +93,7 @@ SQL["search_request_modes"] = f"""WITH a AS (SELECT *, lower(trim(coalesce(query
 b AS (SELECT *, {_case('s', _SORT)} AS sort_mode, CASE o WHEN '' THEN 'desc' ELSE o END AS ord, {_case('w', _WINDOW)} AS win FROM a),
 c AS (SELECT *, CASE WHEN w <> '' THEN CASE win WHEN 'weekly' THEN DATE '2024-01-24' WHEN 'monthly' THEN DATE '2024-01-01' WHEN 'half_year' THEN DATE '2023-08-04' END ELSE start_date END AS rs,
     CASE WHEN w <> '' THEN DATE '2024-01-31' ELSE end_date END AS re,
-    list_distinct(list_filter(string_split(coalesce(tag_ids, ''), ','), t -> trim(t) <> '')) AS tags FROM b),
+    list_distinct(list_filter(string_split(coalesce(tag_ids, ''), ','), lambda t: trim(t) <> '')) AS tags FROM b),
 d AS (SELECT *, CASE WHEN sort_mode IS NULL THEN 'sort_by' WHEN ord NOT IN ('asc', 'desc') THEN 'sort_order' WHEN w <> '' AND win IS NULL THEN 'time_window'
     WHEN w <> '' AND (start_date IS NOT NULL OR end_date IS NOT NULL) THEN 'time_window' WHEN rs > re THEN 'start_date' WHEN duration_min > duration_max THEN 'duration_min'
     WHEN n <= 0 THEN 'n' WHEN row_offset < 0 THEN 'offset' END AS error,
