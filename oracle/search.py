@@ -50,6 +50,8 @@ KEY = """CASE sort_by WHEN 'rating' THEN coalesce(bayesian_rating, 0) WHEN 'coll
  WHEN 'time' THEN coalesce(date_diff('day', DATE '1970-01-01', release_date), 0)::DOUBLE ELSE {other} END * CASE sort_order WHEN 'asc' THEN 1 ELSE -1 END"""
 MISSING = "((sort_by = 'duration' AND duration_min IS NULL) OR (sort_by = 'time' AND release_date IS NULL))"
 
+STRIP = r"regexp_replace(coalesce(m.summary, ''), '^\s+|\s+$', '', 'g')"
+
 SQL = {
     "search_browse": f"""SELECT movie_id, 0.0::DOUBLE AS score FROM {MOVIES} m WHERE movie_id IN (SELECT movie_id FROM fx_movie_tag WHERE tag_id IN (3, 8, 30))
   AND release_date >= DATE '2023-03-01' AND release_date <= DATE '2023-12-31' AND duration_min >= 40 AND duration_min <= 180""",
@@ -70,7 +72,7 @@ SELECT request_id, movie_id, round(score, 6) AS score, strategy, CAST(pos AS INT
     "search_sort_time": listing("time", "DESC"),
     "search_page": f"""WITH page AS ({listing('rating', 'ASC', 7, 3)})
 SELECT p.movie_id, p.pos, m.title, m.year, CAST(m.release_date AS VARCHAR) AS release_date, m.duration_min,
-  CASE WHEN length(trim(coalesce(m.summary, ''))) > 300 THEN substr(trim(coalesce(m.summary, '')), 1, 300) || '...' ELSE trim(coalesce(m.summary, '')) END AS summary,
+  CASE WHEN length({STRIP}) > 300 THEN substr({STRIP}, 1, 300) || '...' ELSE {STRIP} END AS summary,
   round(m.rating_sum::DOUBLE / nullif(m.rating_count, 0), 6) AS rating_avg, m.rating_count, round(coalesce(m.bayesian_rating, 0), 6) AS bayesian_rating,
   coalesce(m.collect_count, 0) AS collect_count, p.score, (SELECT count(*) FROM {MOVIES} x) AS total
 FROM page p JOIN {MOVIES} m ON m.movie_id = p.movie_id""",

@@ -30,7 +30,12 @@ def meet(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_key: str,
     place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("_q", place(query_key, n_query)).withColumn("_c", all_of(n_corpus))
-    right = corpus.withColumn("_c", place(corpus_key, n_corpus)).withColumn("_q", all_of(n_query))
+    # new column names: both sides may come from the same table
+    right = (
+        corpus.select(F.col(corpus_key).alias("_item_id"), F.col("vec").alias("_item_vec"))
+        .withColumn("_c", place("_item_id", n_corpus))
+        .withColumn("_q", all_of(n_query))
+    )
     return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c"))
 
 
@@ -41,8 +46,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = BLOCK_R
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return result.empty_table()
-        query_ids, item_ids = id_array(left["query_id"]), id_array(right["item_id"])
-        q, c = unit_matrix(left["vec"]), unit_matrix(right["vec"])
+        query_ids, item_ids = id_array(left["query_id"]), id_array(right["_item_id"])
+        q, c = unit_matrix(left["vec"]), unit_matrix(right["_item_vec"])
         keep = min(k, len(item_ids))
         parts = []
         for start in range(0, len(query_ids), QUERY_STEP):
@@ -81,8 +86,8 @@ def target_rank(
     def count_ahead(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return result.empty_table()
-        item_ids, target_ids = id_array(right["item_id"]), id_array(left["target_id"])
-        q, t, c = unit_matrix(left["vec"]), unit_matrix(left["target_vec"]), unit_matrix(right["vec"])
+        item_ids, target_ids = id_array(right["_item_id"]), id_array(left["target_id"])
+        q, t, c = unit_matrix(left["vec"]), unit_matrix(left["target_vec"]), unit_matrix(right["_item_vec"])
         ahead = []
         for start in range(0, len(target_ids), QUERY_STEP):
             part = slice(start, start + QUERY_STEP)

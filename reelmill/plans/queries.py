@@ -8,7 +8,10 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.operators import delivery, evaluation, features, interactions, ranking, recall, samples, search, stats
+from reelmill.operators import (
+    delivery, documents, evaluation, evidence, features, interactions, quality, ranking, recall, reports, samples, search, stats,
+    vectors,
+)
 from reelmill.plans.recommend import Recommender
 from reelmill.session import cut_lineage
 from reelmill.sources.catalog import Catalog, from_fixture
@@ -472,3 +475,129 @@ def _(cat):
 @query("search_request_modes")
 def _(cat):
     return search.request_modes(cat.raw_requests, cat.as_of.date())
+
+
+# --- documents and evidence ------------------------------------------------------------------
+
+
+def _first_value(df: DataFrame) -> DataFrame:
+    return df.select("id", "movie_id", "chunk_text", F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("first_value"))
+
+
+def _new_vectors(cat: Catalog) -> DataFrame:
+    return cat.embeddings.select(
+        (F.col("vec_id") * 3).alias("movie_id"),
+        F.concat(F.lit("new "), F.col("vec_id").cast("string")).alias("chunk_text"),
+        F.col("embedding").alias("vec"),
+    )
+
+
+def _old_vectors(cat: Catalog) -> DataFrame:
+    return cat.movie_embeddings.select("id", "movie_id", "chunk_text", "vec")
+
+
+@query("movie_documents")
+def _(cat):
+    return documents.movie_documents(cat).withColumns(r6("rating_avg"))
+
+
+@query("movie_chunks")
+def _(cat):
+    return documents.movie_chunks(documents.movie_documents(cat))
+
+
+@query("embedding_missing")
+def _(cat):
+    return documents.missing_embeddings(cat)
+
+
+@query("embedding_prune")
+def _(cat):
+    kept, removed = documents.prune(cat)
+    mark = lambda df, word: df.select("id", "movie_id", F.lit(word).alias("outcome"))
+    return mark(kept, "kept").unionByName(mark(removed, "removed"))
+
+
+@query("embedding_upsert")
+def _(cat):
+    return _first_value(documents.upsert(_old_vectors(cat), _new_vectors(cat)))
+
+
+@query("embedding_insert_missing")
+def _(cat):
+    return _first_value(documents.insert_missing(_old_vectors(cat), _new_vectors(cat)))
+
+
+@query("embedding_rebuild_summary")
+def _(cat):
+    return documents.rebuild_summary(cat, cat.movie_embeddings)
+
+
+@query("embedding_normalized")
+def _(cat):
+    good, _ = vectors.load_vectors(cat.movie_embeddings)
+    return good.select("id", "movie_id", F.posexplode("vec").alias("dim", "value")).withColumns(r6("value"))
+
+
+@query("similar_items")
+def _(cat):
+    found = evidence.similar_items(cat, cat.movie, _item_vectors(cat), cat.item_vectors_alt)
+    return found.withColumns(r6("score"))
+
+
+@query("similar_items_fallback")
+def _(cat):
+    shown = stats.alive(stats.published(cat.movie)).select("movie_id")
+    return evidence.similar_fallback(cat.movie, cat.item_vectors_alt, shown, 10).withColumns(r6("score"))
+
+
+@query("rag_evidence")
+def _(cat):
+    return evidence.evidence(cat, cat.rag_queries).withColumns(r6("score", "rating_avg"))
+
+
+@query("rag_context")
+def _(cat):
+    return evidence.context(evidence.evidence(cat, cat.rag_queries), cat.rag_queries)
+
+
+@query("citation_audit")
+def _(cat):
+    found = evidence.evidence(cat, cat.rag_queries)
+    return listed(evidence.audit_citations(cat.generated_answers, found, ["query_id", "variant"]), "cited_ids")
+
+
+# --- reports and data quality -------------------------------------------------------------------
+
+
+@query("task_report")
+def _(cat):
+    page, total = reports.task_report(cat.ops_task, limit=30, offset=5)
+    row = total.select(F.struct("*")).scalar()
+    page = page.withColumn("total", row.getField("total")).withColumn("has_more", row.getField("has_more"))
+    return stamped(page, "created_at", "started_at", "finished_at")
+
+
+@query("task_progress")
+def _(cat):
+    return reports.task_progress(cat.ops_task)
+
+
+@query("qc_interactions")
+def _(cat):
+    return stamped(quality.bad_interactions(cat.raw_interactions), "ts")
+
+
+@query("qc_keys")
+def _(cat):
+    return quality.key_problems(cat)
+
+
+@query("qc_vectors")
+def _(cat):
+    return quality.bad_vectors(cat)
+
+
+@query("qc_feature_coverage")
+def _(cat):
+    return quality.feature_coverage(cat, samples4(cat))
