@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["stats", "interactions", "features", "recall", "evaluation", "search", "documents"]
+_MODULES = ["stats", "interactions", "features", "recall", "evaluation", "search", "documents", "streaming"]
 
 
 def texts() -> dict[str, str]:

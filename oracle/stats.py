@@ -72,6 +72,7 @@ SQL = {
     "precompute_summary": f"""SELECT 'search_stats' AS "table", count(*) AS "rows" FROM ({STATS}) a
 UNION ALL SELECT 'feature_movie', count(*) FROM fx_movie
 UNION ALL SELECT 'feature_user', count(*) FROM fx_user
-UNION ALL SELECT 'trending', count(*) FROM (SELECT 1 FROM fx_movie m WHERE m.status = 'published' LIMIT 200) p CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) w
+UNION ALL SELECT 'trending', count(*) FROM (TRENDING) p WHERE movie_id > 0
 UNION ALL SELECT 'tag_index', count(*) FROM ({index(1000)}) i""",
 }
+SQL["precompute_summary"] = SQL["precompute_summary"].replace("(TRENDING)", f"({SQL['trending_all_windows']})")

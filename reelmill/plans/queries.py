@@ -12,9 +12,11 @@ from reelmill.operators import (
     delivery, documents, evaluation, evidence, features, interactions, quality, ranking, recall, reports, samples, search, stats,
     vectors,
 )
+from reelmill.plans.precompute import precompute
 from reelmill.plans.recommend import Recommender
-from reelmill.session import cut_lineage
+from reelmill.session import cut_lineage, fresh_path
 from reelmill.sources.catalog import Catalog, from_fixture
+from reelmill.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -601,3 +603,85 @@ def _(cat):
 @query("qc_feature_coverage")
 def _(cat):
     return quality.feature_coverage(cat, samples4(cat))
+
+
+# --- models, precompute, streaming ------------------------------------------------------------------
+
+
+@query("precompute_summary")
+def _(cat):
+    return precompute(cat, fresh_path(cat.spark, "precompute"))
+
+
+@query("als_item_vectors")
+def _(cat):
+    _, items = vectors.fit_vectors(interactions.implicit_strength(interactions.interactions(cat)), dim=16)
+    items = cut_lineage(items)
+    cold = vectors.cold_item_vectors(items, cat.movie_tag)
+    return items.withColumn("kind", F.lit("learned")).unionByName(cold.withColumn("kind", F.lit("cold")))
+
+
+@query("rank_gbt")
+def _(cat):
+    labels = interactions.binary_labels(interactions.interactions(cat), None).select("user_id", "movie_id", "label")
+    flags = F.element_at(F.array(*[F.lit(s) for s in ("user_collection", "user_high_rating_similar", "user_interest_tag", "item_similar_by_tags")]),
+                         (F.pmod(F.xxhash64("user_id", "movie_id"), F.lit(4)) + 1).cast("int"))
+    rows = labels.withColumn("source", flags).withColumn("recall_score", F.lit(0.0))
+    train = cut_lineage(features.rank_matrix(cat, rows, "binary", leak_guard=True))
+    ranker = ranking.fit_gbt(train, features.BINARY_FEATURES, rounds=10)
+    wanted = _candidates(cat)
+    return ranker.rank(features.rank_matrix(cat, wanted, "binary"))
+
+
+def _candidates(cat: Catalog) -> DataFrame:
+    return cut_lineage(
+        _merged(cat).select("user_id", F.col("item_id").alias("movie_id"), F.col("score").alias("recall_score"), "source")
+    )
+
+
+@query("rank_multitask")
+def _(cat):
+    tasks = ["click", "collect", "comment", "rating"]
+    rows = samples.with_negatives(interactions.multitask_labels(interactions.interactions(cat)))
+    matrix = cut_lineage(features.rank_matrix(cat, cut_lineage(rows), "multitask", leak_guard=True))
+    scaled = features.fit_zscore(matrix, features.MULTITASK_FEATURES, [n for n in features.MULTITASK_FEATURES if n.startswith("src_")])
+    scaled = cut_lineage(scaled)
+    ranker = ranking.fit_multitask(features.apply_zscore(matrix, scaled, features.MULTITASK_FEATURES), features.MULTITASK_FEATURES, tasks)
+    wanted = features.rank_matrix(cat, _candidates(cat), "multitask")
+    return ranker.rank(features.apply_zscore(wanted, scaled, features.MULTITASK_FEATURES))
+
+
+def _events(cat: Catalog, kinds: tuple[str, ...] | None) -> DataFrame:
+    folder, schema = cat.base_folder, cat.events.schema
+    raw = jobs.event_stream(cat.spark, folder, "events.parquet", schema)
+    if kinds:
+        raw = raw.filter(F.col("event_type").isin(*kinds))
+    return raw.select("event_id", "ts", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("movie_id"))
+
+
+def _run(cat: Catalog, start, *args) -> str:
+    out = fresh_path(cat.spark, "stream")
+    start(*args, out, fresh_path(cat.spark, "stream-state")).awaitTermination()
+    return out
+
+
+@query("stream_trending_counts")
+def _(cat):
+    kinds = ("view", "click", "signup")
+    buckets = cat.spark.read.parquet(_run(cat, jobs.stream_buckets, _events(cat, kinds)))
+    newest = cat.events.filter(F.col("event_type").isin(*kinds)).agg(F.max("ts").cast("timestamp").alias("ts"))
+    closed = (F.unix_millis(newest.scalar()) / 1000) - 3600
+    return jobs.sliding_counts(buckets, closed)
+
+
+@query("stream_click_buckets")
+def _(cat):
+    buckets = cat.spark.read.parquet(_run(cat, jobs.stream_buckets, _events(cat, ("view", "click"))))
+    return jobs.trailing_counts(buckets, cat.as_of)
+
+
+@query("stream_feature_refresh")
+def _(cat):
+    folder = cat.base_folder
+    out = _run(cat, jobs.stream_features, _events(cat, None), lambda spark: from_fixture(spark, folder))
+    return listed(jobs.latest_features(cat.spark, out), "tag_ids").withColumns(r6("rating_avg"))

@@ -18,9 +18,10 @@ _FROM = re.compile(r"\b(FROM|JOIN)\s+([a-z_]+)\b(?!\s*\()", re.IGNORECASE)
 class Catalog:
     """Named tables, each built on first use and then shared by all operators of a job."""
 
-    def __init__(self, spark: SparkSession, load: Callable[[str], DataFrame], as_of: datetime):
+    def __init__(self, spark: SparkSession, load: Callable[[str], DataFrame], as_of: datetime, base_folder: str = ""):
         self.spark = spark
         self.as_of = as_of
+        self.base_folder = base_folder
         self._load = load
         self._tables: dict[str, DataFrame] = {}
 
@@ -36,7 +37,7 @@ class Catalog:
 
     def replace(self, **tables: DataFrame) -> "Catalog":
         """The same catalog with some tables exchanged, e.g. for the ids touched by a batch."""
-        other = Catalog(self.spark, lambda name: self.table(name), self.as_of)
+        other = Catalog(self.spark, lambda name: self.table(name), self.as_of, self.base_folder)
         other._tables.update(tables)
         return other
 
@@ -47,7 +48,7 @@ def from_parquet(spark: SparkSession, root: str, as_of: datetime) -> Catalog:
     def load(name: str) -> DataFrame:
         return spark.read.schema(SCHEMAS[name]).parquet(f"{root.rstrip('/')}/{name}")
 
-    return Catalog(spark, load, as_of)
+    return Catalog(spark, load, as_of, root)
 
 
 def from_jdbc(
@@ -100,5 +101,5 @@ def from_fixture(spark: SparkSession, sf_dir: str, as_of: datetime = fixtures.AS
         text = _FROM.sub(point, text)
         return spark.sql(text, **sources)
 
-    catalog = Catalog(spark, load, as_of)
+    catalog = Catalog(spark, load, as_of, sf_dir)
     return catalog
