@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -57,3 +58,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of an executor and fixes the row layout."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Hint a broadcast when a count shows at most ``max_rows`` narrow rows; otherwise leave the join to the optimizer."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
