@@ -34,7 +34,8 @@ def age_bucket(birth: Column, as_of: datetime) -> Column:
 def calendar_age(birth: Column, as_of: datetime) -> Column:
     """Completed calendar years, never negative, NULL when unknown."""
     before_birthday = (F.month(birth) * 100 + F.dayofmonth(birth)) > as_of.month * 100 + as_of.day
-    return F.greatest(F.lit(as_of.year) - F.year(birth) - before_birthday.cast("int"), F.lit(0))
+    years = F.lit(as_of.year) - F.year(birth) - before_birthday.cast("int")
+    return F.when(birth.isNotNull(), F.greatest(years, F.lit(0)))
 
 
 def age_label(age: Column) -> Column:
