@@ -22,7 +22,7 @@ HEADLINE = [
     "interactions_union", "interactions_recent", "cf_pair_weights", "implicit_pair_strength", "rank_labels_binary",
     "rank_labels_multitask", "kcore_filter", "negatives_global", "holdout_last", "split_stratified", "vocab_index",
     "item_stats_vector", "user_recent_sequence", "user_long_interest_tags", "user_static_tag_ctr", "rank_matrix_multitask",
-    "user_top_preferences", "user_excluded_items", "recall_tag", "recall_vector", "rank_item_cf", "recommend_users",
+    "user_top_preferences", "user_excluded_items", "recall_tag", "recall_vector", "recommend_users",
     "auc_exact", "hit_rate_at_k", "search_browse", "search_fulltext", "search_like", "search_page", "movie_documents",
     "movie_chunks", "embedding_upsert", "similar_items", "rag_evidence", "citation_audit", "task_progress", "qc_keys",
     "stream_trending_counts",

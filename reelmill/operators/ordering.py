@@ -33,9 +33,21 @@ def newest(df: DataFrame, ts: str, ties: list[str], n: int, spread: int = 64) ->
     )
 
 
+def shuffle_width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Few small rows that are about to be expanded, spread over all shuffle partitions.
+
+    The explicit number keeps adaptive execution from packing them into one task.
+    """
+    return df.repartition(shuffle_width(df), *keys)
+
+
 def laid_out(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
     """Rows written once in global order; ``_part`` and ``_row`` give each row its place."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or shuffle_width(df)
     place = F.monotonically_increasing_id()
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", place)
     return cut_lineage(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.hashing import code, draw
-from reelmill.operators.ordering import hash_cut, with_position, with_running_sum
+from reelmill.operators.ordering import hash_cut, spread, with_position, with_running_sum
 from reelmill.session import broadcast_if_small, cut_lineage
 
 # Seeds of the sample builders.
@@ -65,7 +65,7 @@ def global_negatives(positives: DataFrame, ratio: int = 2, seed: int = DATASET_S
         )
         tries = (
             wanted.withColumn("chunk", F.explode(chunks))
-            .repartition("user_id", "chunk")
+            .transform(lambda df: spread(df, "user_id", "chunk"))
             .withColumn("i", F.explode(numbers))
             .withColumn("idx", F.pmod(draw(code(F.col("user_id"), F.col("i"), F.lit(seed))), pool_size))
         )
@@ -115,7 +115,7 @@ def global_negatives(positives: DataFrame, ratio: int = 2, seed: int = DATASET_S
     )
     free = (
         short.withColumn("chunk", F.explode(blocks))
-        .repartition("user_id", "chunk")
+        .transform(lambda df: spread(df, "user_id", "chunk"))
         .withColumn("idx", F.explode(places))
         .join(pool, "idx")
         .select("user_id", F.col("id").alias("movie_id"), "idx", "chunk", (F.col("need") - F.col("got")).alias("missing"))
@@ -211,7 +211,7 @@ def weighted_resample(pairs: DataFrame, n: Column | int, seed: int = VECTOR_SEED
     wanted = count if n is None else F.lit(n)
     blocks = (
         facts.select(F.explode(F.sequence(F.lit(0), F.ceil(wanted / DRAWS_PER_CHUNK).cast("bigint") - 1)).alias("block"))
-        .repartition("block")
+        .transform(lambda df: spread(df, "block"))
         .select(
             F.explode(
                 F.sequence(

@@ -12,6 +12,10 @@ from pyspark.sql.types import StructType
 from reelmill.schemas import SCHEMAS
 from reelmill.sources import fixtures
 
+# Derived by a window over a join and read by most operators, often several times in one
+# job; in production it is a stored table.
+KEPT = {"rating"}
+
 _FROM = re.compile(r"\b(FROM|JOIN)\s+([a-z_]+)\b(?!\s*\()", re.IGNORECASE)
 
 
@@ -99,7 +103,8 @@ def from_fixture(spark: SparkSession, sf_dir: str, as_of: datetime = fixtures.AS
 
         text = fixtures.view_text(f"fx_{name}", "spark").replace("{", "{{").replace("}", "}}")
         text = _FROM.sub(point, text)
-        return spark.sql(text, **sources)
+        built = spark.sql(text, **sources)
+        return built.persist() if name in KEPT else built
 
     catalog = Catalog(spark, load, as_of, sf_dir)
     return catalog
