@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelmill.operators.ordering import newest
 from reelmill.operators.stats import alive
+from reelmill.session import cut_lineage
 from reelmill.sources.catalog import Catalog
 
 # Strength of an action, per use.
@@ -82,7 +83,8 @@ def recent_interactions(ix: DataFrame, per_source: int, overall: int | None) ->
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out if overall is None else newest(out, "ts", ties, overall)
+    # at most four times per_source rows are left: written once, ordered once more
+    return out if overall is None else newest(cut_lineage(out), "ts", ties, overall)
 
 
 def cf_pair_weights(ix: DataFrame) -> DataFrame:

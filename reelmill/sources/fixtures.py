@@ -197,18 +197,19 @@ SELECT event_id AS request_id,
 FROM events
 """
 
+# One generated answer per query; its kind of (mal)formation follows from the id.
 VIEWS["fx_generated_answers"] = """
-SELECT q.query_id, v.variant,
-       concat('answer text', CASE v.variant
-         WHEN 0 THEN concat(b, '{"cited_movie_ids":[', q.query_id, ',"', q.query_id, '"]}', e)
+SELECT query_id, CAST(query_id % 7 AS INT) AS variant,
+       concat('answer text', CASE query_id % 7
+         WHEN 0 THEN concat(b, '{"cited_movie_ids":[', query_id, ',"', query_id, '"]}', e)
          WHEN 1 THEN concat(b, '{"cited_movie_ids":[999999999]}', e)
          WHEN 2 THEN concat(b, '{"cited_movie_ids":[]')
          WHEN 3 THEN ' without markers'
          WHEN 4 THEN concat(b, '{"cited_movie_ids":[]}', e)
          WHEN 5 THEN concat(b, '{"cited_movie_ids":[true]}', e)
          ELSE concat(b, 'not json', e) END) AS answer
-FROM fx_rag_queries q CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6)) AS v(variant)
-CROSS JOIN (SELECT concat(chr(10), '<<<RAG_STRUCTURED_OUTPUT_BEGIN>>>', chr(10)) AS b, concat(chr(10), '<<<RAG_STRUCTURED_OUTPUT_END>>>') AS e) m
+FROM (SELECT query_id, concat(chr(10), '<<<RAG_STRUCTURED_OUTPUT_BEGIN>>>', chr(10)) AS b,
+             concat(chr(10), '<<<RAG_STRUCTURED_OUTPUT_END>>>') AS e FROM fx_rag_queries) q
 """
 
 VIEWS["fx_raw_interactions"] = """
