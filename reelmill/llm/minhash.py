@@ -55,24 +55,35 @@ def set_id(found: Column) -> Column:
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Coordinate values (bytes of 64 uint32) and one byte of each (sketch) for rows that all have shingles."""
+    """Coordinate values (bytes of 64 uint32) and one byte of each (sketch) of the sets; an empty set has none."""
     for batch in batches:
-        if not len(batch):
-            continue
-        sets = [np.asarray(s, dtype=np.int64).view(np.uint64) for s in batch["shingles"]]
-        lengths = np.fromiter((len(s) for s in sets), np.int64, len(sets))
-        flat = np.concatenate(sets)
-        flat ^= flat >> np.uint64(29)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        out = np.empty((len(sets), COORDINATES), np.uint32)
-        for c in range(COORDINATES):
-            mixed = flat * _MUL[c] + _ADD[c]
-            out[:, c] = np.minimum.reduceat((mixed >> np.uint64(32)).astype(np.uint32), starts)
-        mixed = (out * np.uint32(2654435761)) >> np.uint32(24)
-        yield pd.DataFrame({
-            "doc_id": batch["doc_id"].to_numpy(), "a": batch["a"].to_numpy(), "b": batch["b"].to_numpy(), "tokens": [row.tobytes() for row in out],
-            "sketch": [row.tobytes() for row in mixed.astype(np.uint8)],
-        })
+        sets = batch["shingles"].to_list()
+        out = np.zeros((len(sets), COORDINATES), np.uint32)
+        filled = [i for i, s in enumerate(sets) if len(s)]
+        for part in _portions(filled, sets):
+            flat = np.concatenate([sets[i] for i in part]).view(np.uint64)
+            flat ^= flat >> np.uint64(29)
+            starts = np.cumsum([0] + [len(sets[i]) for i in part[:-1]])
+            mixed = np.empty_like(flat)
+            for c in range(COORDINATES):
+                np.multiply(flat, _MUL[c], out=mixed)
+                mixed += _ADD[c]
+                out[part, c] = np.minimum.reduceat(mixed, starts) >> np.uint64(32)
+        sketch = ((out * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
+        yield batch.drop(columns="shingles").assign(tokens=[r.tobytes() for r in out], sketch=[r.tobytes() for r in sketch])
+
+
+def _portions(filled: list[int], sets: list) -> Iterator[list[int]]:
+    """Runs of sets that fit the processor's cache together."""
+    part, n = [], 0
+    for i in filled:
+        part.append(i)
+        n += len(sets[i])
+        if n > 30_000:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,17 +105,41 @@ def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[(a == b).sum(axis=1) >= MATCHES, ["u", "v"]]
 
 
-def _cross(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of probes and block members of other components that agree in enough coordinates; each from its first list only."""
-    probes, build = group[group["probe"]], group[~group["probe"]]
-    out = []
-    if len(probes) and len(build):
-        side = np.frombuffer(b"".join(build["sketch"]), np.uint8).reshape(-1, COORDINATES)
-        ids, comps = build["doc_id"].to_numpy(), build["component_id"].to_numpy()
-        for doc, comp, sketch in zip(probes["doc_id"], probes["component_id"], probes["sketch"]):
-            hits = np.flatnonzero(((side == np.frombuffer(sketch, np.uint8)).sum(axis=1) >= MATCHES) & (comps != comp))
-            out += [(min(doc, ids[i]), max(doc, ids[i])) for i in hits]
-    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+def _cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of probes and block members of other components that agree in enough coordinates.
+
+    Rows come sorted by (token, block, part), so a group, which is bounded, ends where the next one starts.
+    """
+    keys = ["token", "block", "part"]
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        ends = np.flatnonzero((batch[keys].to_numpy()[1:] != batch[keys].to_numpy()[:-1]).any(axis=1)) + 1
+        last = int(ends[-1]) if len(ends) else 0
+        rest = batch.iloc[last:].reset_index(drop=True)
+        if last:
+            yield _met_in_groups(batch.iloc[:last], ends)
+    if rest is not None:
+        yield _met_in_groups(rest, np.array([len(rest)]))
+
+
+def _met_in_groups(rows: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+    ids, comps, probe = (rows[c].to_numpy() for c in ("doc_id", "component_id", "probe"))
+    sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, COORDINATES)
+    us, vs, start = [], [], 0
+    for end in ends:
+        at = np.arange(start, end)
+        start = end
+        ask, build = at[probe[at]], at[~probe[at]]
+        for chunk in np.array_split(ask, max(1, len(ask) * len(build) // 20_000)):
+            alike = (sketches[chunk][:, None, :] == sketches[build][None, :, :]).sum(axis=2) >= MATCHES
+            i, j = np.nonzero(alike & (comps[chunk][:, None] != comps[build][None, :]))
+            us.append(ids[chunk[i]])
+            vs.append(ids[build[j]])
+    u, v = (np.concatenate(s) if s else np.empty(0, np.int64) for s in (us, vs))
+    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
 
 
 def _posted(signed: DataFrame) -> DataFrame:
@@ -127,13 +162,16 @@ def _paired(posted: DataFrame) -> DataFrame:
     return pairs.select(F.least("doc_id", "hub").alias("u"), F.greatest("doc_id", "hub").alias("v")).distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, speakers: DataFrame, size: int) -> DataFrame:
-    """The pairs whose full sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
-    pairs = cut_lineage(pairs)
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+def _full_sets(posted: DataFrame, docs: DataFrame, speakers: DataFrame, size: int) -> DataFrame:
+    """``doc_id, s``: the full sets of the posted documents, read from the texts again."""
+    wanted = cut_lineage(posted.select("doc_id").distinct())
     sets = docs.join(broadcast_if_small(wanted), "doc_id", "left_semi").select("doc_id", shingles(F.col("text"), size).alias("s"))
     sets = sets.withColumn("set_id", set_id(F.col("s"))).join(speakers.join(wanted, "doc_id"), ["doc_id", "set_id"], "left_semi")
-    sets = cut_lineage(sets.dropDuplicates(["doc_id"]).select("doc_id", "s"))
+    return cut_lineage(sets.dropDuplicates(["doc_id"]).select("doc_id", "s"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
     met = (
         pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("su")), "u")
         .join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("sv")), "v")
@@ -157,7 +195,9 @@ def _open_pairs(posted: DataFrame, signed: DataFrame, comps: DataFrame) -> DataF
     probes = minor.select(*kept, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("block").alias("part"), F.lit(True).alias("probe"))
     lively = minor.select("token", F.col("block").alias("part")).distinct()  # parts of the list that have probes
     build = here.join(lively, "token").select(*kept, "block", "part", F.lit(False).alias("probe"))
-    return probes.unionByName(build).groupBy("token", "block", "part").applyInPandas(_cross, "u long, v long").distinct()
+    keys = ["token", "block", "part"]
+    dealt = probes.unionByName(build).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(_cross, "u long, v long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
@@ -169,10 +209,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = pick(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     told = docs.select("doc_id", shingles(F.col("text"), size).alias("shingles")).select(
-        "doc_id", "shingles", F.size("shingles").cast("long").alias("n_shingles"), set_id(F.col("shingles")).alias("set_id"))
-    full = told.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "shingles", "set_id.a", "set_id.b")
-    signed = cut_lineage(full.mapInPandas(_signatures, "doc_id long, a long, b long, tokens binary, sketch binary"))
-    plain = cut_lineage(told.select("doc_id", "n_shingles", "set_id"))
+        "doc_id", F.size("shingles").cast("long").alias("n_shingles"), set_id(F.col("shingles")).alias("set_id"), "shingles")
+    told = cut_lineage(told.select("doc_id", "n_shingles", "set_id.a", "set_id.b", "shingles").mapInPandas(
+        _signatures, "doc_id long, n_shingles long, a long, b long, tokens binary, sketch binary"))
+    plain = told.select("doc_id", "n_shingles", F.struct("a", "b").alias("set_id"))
+    signed = told.filter("n_shingles > 0 AND doc_id IS NOT NULL").drop("n_shingles")
     speakers = cut_lineage(plain.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_id").alias("set_id")))
     classes = cut_lineage(speakers.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")))
     stands = classes.select(F.col("rep").alias("doc_id"), "set_id.a", "set_id.b")
@@ -181,9 +222,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketches = signed.select("doc_id", "sketch")
     u, v = (sketches.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
     likely = _paired(posted).join(u, "u").join(v, "v").mapInPandas(_alike, "u long, v long")
-    texts = docs.filter("doc_id IS NOT NULL")
-    links = cut_lineage(_confirmed(likely, texts, speakers, size))
-    more = cut_lineage(_confirmed(_open_pairs(posted, signed, components(links)), texts, speakers, size))
+    sets = _full_sets(posted, docs.filter("doc_id IS NOT NULL"), speakers, size)
+    links = cut_lineage(_confirmed(likely, sets))
+    more = cut_lineage(_confirmed(_open_pairs(posted, signed, components(links)), sets))
     between = components(links.unionByName(more))  # classes; copies follow their class
     placed = classes.join(between.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_id", F.coalesce("component_id", "rep").alias("component_id"), "n_copies")
