@@ -144,8 +144,8 @@ def _met_in_groups(rows: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
 
 def _posted(signed: DataFrame) -> DataFrame:
     """``doc_id, token``: the shared pairs among the 32 rarest of each class that shares at least 33."""
-    tokens = cut_lineage(signed.select("doc_id", "tokens").mapInPandas(_tokens, "doc_id long, token long"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    tokens = signed.select("doc_id", "tokens").mapInPandas(_tokens, "doc_id long, token long")
+    shared = cut_lineage(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))  # both sides of the join can then be split
     told = tokens.join(shared, "token")
     per_doc = told.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))  # at most 64
     kept = per_doc.filter(F.size("all") >= MATCHES)
@@ -162,12 +162,16 @@ def _paired(posted: DataFrame) -> DataFrame:
     return pairs.select(F.least("doc_id", "hub").alias("u"), F.greatest("doc_id", "hub").alias("v")).distinct()
 
 
-def _full_sets(posted: DataFrame, docs: DataFrame, speakers: DataFrame, size: int) -> DataFrame:
-    """``doc_id, s``: the full sets of the posted documents, read from the texts again."""
-    wanted = cut_lineage(posted.select("doc_id").distinct())
+def _full_sets(pairs: DataFrame, docs: DataFrame, speakers: DataFrame, size: int, known: DataFrame | None = None) -> DataFrame:
+    """``doc_id, s``: the full sets of the paired documents, read from the texts again, beside those that are known."""
+    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    if known is not None:
+        wanted = wanted.join(known, "doc_id", "left_anti")
+    wanted = cut_lineage(wanted)
     sets = docs.join(broadcast_if_small(wanted), "doc_id", "left_semi").select("doc_id", shingles(F.col("text"), size).alias("s"))
     sets = sets.withColumn("set_id", set_id(F.col("s"))).join(speakers.join(wanted, "doc_id"), ["doc_id", "set_id"], "left_semi")
-    return cut_lineage(sets.dropDuplicates(["doc_id"]).select("doc_id", "s"))
+    sets = cut_lineage(sets.dropDuplicates(["doc_id"]).select("doc_id", "s"))
+    return sets if known is None else known.unionByName(sets)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -222,9 +226,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketches = signed.select("doc_id", "sketch")
     u, v = (sketches.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
     likely = _paired(posted).join(u, "u").join(v, "v").mapInPandas(_alike, "u long, v long")
-    sets = _full_sets(posted, docs.filter("doc_id IS NOT NULL"), speakers, size)
+    likely, texts = cut_lineage(likely), docs.filter("doc_id IS NOT NULL")
+    sets = _full_sets(likely, texts, speakers, size)
     links = cut_lineage(_confirmed(likely, sets))
-    more = cut_lineage(_confirmed(_open_pairs(posted, signed, components(links)), sets))
+    crossing = cut_lineage(_open_pairs(posted, signed, components(links)))
+    more = cut_lineage(_confirmed(crossing, _full_sets(crossing, texts, speakers, size, sets)))
     between = components(links.unionByName(more))  # classes; copies follow their class
     placed = classes.join(between.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_id", F.coalesce("component_id", "rep").alias("component_id"), "n_copies")
