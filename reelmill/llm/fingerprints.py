@@ -154,7 +154,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = ranged.groupBy("_range").agg(F.min(order).alias("first")).orderBy("_range").collect()  # one row per range
     ranged = ranged.withColumn("_halo", F.lit(False))
     if not firsts:
-        return ranged.withColumn("next_text", F.lit(None).cast("string"))
+        return ranged.withColumns({"next_text": F.lit(None).cast("string"), "_wraps": F.lit(False)})
     places = [r["_range"] for r in firsts]
     to = spark_rows(docs, [(r["first"]["doc_id"], r["first"]["_tie"], places[i - 1] if i else places[-1], i == 0)
                            for i, r in enumerate(firsts)])

@@ -3,7 +3,7 @@
 Rules decide what they fit; their verdicts are the labels of the tree. Level by level, the branches of a node (host and
 template so far) are counted. Variable segments (numbers, long hex, one of many rare siblings) become ``*``; other siblings whose labels
 are statistically alike (clearly blocked, clearly allowed, neither) are merged. A template is rejected if the share of
-blocked pages, smoothed towards its host's and that towards a prior, reaches the threshold.
+blocked pages among its labelled ones, smoothed towards a prior, reaches the threshold; without labels it is allowed.
 """
 
 from __future__ import annotations
@@ -84,18 +84,17 @@ def templates(df: DataFrame, url_col: str = "url", rules: list[tuple[str, str, s
     deepest = state.agg(F.max(F.size("segments"))).first()[0] or 0
     for at in range(min(DEPTH, deepest)):
         level = state.withColumn("segment", F.get("segments", F.lit(at)))
-        steps = _branches(level.filter("segment IS NOT NULL").withColumn("label", F.col("label")))
+        steps = _branches(level.filter("segment IS NOT NULL"))
         state = cut_lineage(
             level.join(steps, ["host", "prefix", "segment"], "left")
             .withColumn("prefix", F.concat("prefix", F.when(F.col("step").isNull(), "").otherwise(F.concat(F.lit("/"), "step"))))
             .drop("segment", "step"))
     state = state.withColumn("template", F.concat("prefix", F.when(F.size("segments") > DEPTH, "/**").otherwise("")))
-    votes = lambda *keys: state.groupBy(*keys).agg(
+    leaves = state.groupBy("host", "template").agg(
         F.sum(F.when(F.col("label").isNotNull(), F.col("times")).otherwise(0)).alias("labelled"),
         F.sum(F.coalesce("label", F.lit(0)) * F.col("times")).alias("blocked"))
-    smooth = lambda prior: (F.col("blocked") + SMOOTH * prior) / (F.col("labelled") + SMOOTH)
-    hosts = cut_lineage(votes("host").select("host", smooth(F.lit(PRIOR)).alias("host_purity")))
-    leaves = cut_lineage(votes("host", "template").join(hosts, "host").select("host", "template", smooth(F.col("host_purity")).alias("purity")))
+    purity = (F.col("blocked") + SMOOTH * PRIOR) / (F.col("labelled") + SMOOTH)
+    leaves = cut_lineage(leaves.select("host", "template", purity.alias("purity")))
     return state.join(leaves, ["host", "template"]).select("url", "host", "path", "rule", "ruled", "template", "purity")
 
 
