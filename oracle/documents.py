@@ -125,7 +125,8 @@ SQL = {
   (SELECT count(*) FROM {TASKS} x) AS total, 35 < (SELECT count(*) FROM {TASKS} x) AS has_more
 FROM (SELECT * FROM {TASKS} t ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 30 OFFSET 5) t LEFT JOIN fx_ops_task p ON p.id = t.parent_task_id""",
     "task_progress": f"""SELECT id, task_type, status,
-  greatest(coalesce(CAST(json_extract_string(result, '$.elapsed_ms') AS BIGINT), CAST(floor((epoch_us(finished_at) - epoch_us(started_at)) / 1000) AS BIGINT)), 0) AS elapsed_ms,
+  CASE WHEN coalesce(json_extract_string(result, '$.elapsed_ms'), CAST(epoch_us(finished_at) - epoch_us(started_at) AS VARCHAR)) IS NULL THEN NULL ELSE
+    greatest(coalesce(CAST(json_extract_string(result, '$.elapsed_ms') AS BIGINT), CAST(floor((epoch_us(finished_at) - epoch_us(started_at)) / 1000) AS BIGINT)), 0) END AS elapsed_ms,
   CASE WHEN task_type = 'rag_rebuild_job' AND {TOTAL} > 0 THEN round(least(greatest({DONE}, 0) / ({TOTAL})::DOUBLE, 1.0) * 100.0, 2)
     WHEN status = 'pending' THEN 0.0 WHEN status IN ('completed', 'failed') THEN 100.0 END::DOUBLE AS progress_percent,
   CASE task_type WHEN 'train_job' THEN {MODEL} || ' ' || status

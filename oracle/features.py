@@ -89,7 +89,7 @@ SQL = {
 FROM (SELECT *, CASE WHEN NOT usable OR b IS NULL OR b <= 0 THEN 'unknown' WHEN b < 18 THEN 'lt18' WHEN b < 25 THEN '18_24' WHEN b < 35 THEN '25_34'
         WHEN b < 45 THEN '35_44' WHEN b < 55 THEN '45_54' ELSE '55_plus' END AS label
       FROM (SELECT *, {AGE_A} AS a, {AGE_B} AS b, floor({REG}) AS r, status = 'active' AND deleted_at IS NULL AS usable FROM fx_user) u) v""",
-    "user_recent_sequence": ordered(f"SELECT * FROM {IX} x", "user_id", "movie_id", "ts DESC NULLS LAST, movie_id DESC, action_type", 10, "movie_ids"),
+    "user_recent_sequence": ordered(f"SELECT * FROM {IX} x", "user_id", "movie_id", "ts DESC NULLS LAST, movie_id DESC, action_type", 50, "movie_ids"),
     "user_short_history": ordered("SELECT * FROM fx_user_click", "user_id", "movie_id", "created_at DESC NULLS LAST, movie_id DESC", 10, "movie_ids"),
     "user_long_interest_tags": ordered(
         f"""SELECT user_id, tag_id, max(priority) AS priority, max(seen_at) AS seen_at FROM (

@@ -14,7 +14,7 @@ def weight(view: str, comment: str, collect: str, rating: str) -> str:
     return f"CASE action_type WHEN 'view' THEN {view} WHEN 'comment' THEN {comment} WHEN 'collect' THEN {collect} ELSE {rating} END"
 
 
-CF = f"""(SELECT user_id, movie_id, greatest(-1.0, least(2.0, sum({weight('0.2', '0.6', '1.0', '(rating - 5) * 0.2')})))::DOUBLE AS weight
+CF = f"""(SELECT user_id, movie_id, greatest(-1.0, least(2.0, coalesce(sum({weight('0.2', '0.6', '1.0', '(rating - 5) * 0.2')}), 0)))::DOUBLE AS weight
 FROM {IX} x GROUP BY user_id, movie_id)"""
 
 PAIRS = f"""(SELECT user_id, movie_id, sum(w)::DOUBLE AS weight, max(ts) AS last_ts
@@ -39,7 +39,7 @@ LABELS4 = f"""(SELECT user_id, movie_id, 1 AS click, collect, "comment", rating,
   FROM {IX} x WHERE action_type <> 'rating' OR rating IS NOT NULL GROUP BY user_id, movie_id) g)"""
 
 RECENT = " UNION ALL ".join(
-    f"SELECT * FROM (SELECT * FROM {IX} x WHERE action_type = '{a}' ORDER BY ts DESC NULLS LAST, action_type, user_id, movie_id LIMIT 2000) {a}_rows"
+    f"SELECT * FROM (SELECT * FROM {IX} x WHERE action_type = '{a}' ORDER BY ts DESC NULLS LAST, action_type, user_id, movie_id LIMIT 300000) {a}_rows"
     for a in ("view", "rating", "comment", "collect")
 )
 
@@ -110,7 +110,7 @@ FROM (SELECT *, row_number() OVER ({part} ORDER BY code) AS rn, {n} AS n FROM (
 
 SQL = {
     "interactions_union": f"SELECT user_id, movie_id, action_type, rating, {stamp('ts')} AS ts FROM {IX} x",
-    "interactions_recent": f"SELECT user_id, movie_id, action_type, rating, {stamp('ts')} AS ts FROM (SELECT * FROM ({RECENT}) r ORDER BY ts DESC NULLS LAST, action_type, user_id, movie_id LIMIT 2000) o",
+    "interactions_recent": f"SELECT user_id, movie_id, action_type, rating, {stamp('ts')} AS ts FROM (SELECT * FROM ({RECENT}) r ORDER BY ts DESC NULLS LAST, action_type, user_id, movie_id LIMIT 300000) o",
     "cf_pair_weights": f"SELECT user_id, movie_id, round(weight, 6) AS weight FROM {CF} p",
     "implicit_pair_strength": f"SELECT user_id, movie_id, round(weight, 6) AS weight, {stamp('last_ts')} AS last_ts FROM {PAIRS} p",
     "rank_labels_binary": f"SELECT user_id, movie_id, action_type, rating, round(strength, 6) AS strength, {stamp('ts')} AS ts, label FROM {LABELS2} l",

@@ -1,7 +1,7 @@
 from oracle.interactions import CF, IX, PAIRS
 from oracle.stats import index
 
-DEPTH, PER_KEY, PREFS, RECENT, LIST_N, VECTOR_K = 50, 20, 20, 20, 20, 10
+DEPTH, PER_KEY, PREFS, RECENT, LIST_N, VECTOR_K = 1000, 200, 20, 300, 500, 300
 
 
 def ranked(rows: str, by: str, order: str, n: int, extra: str = "") -> str:

@@ -66,7 +66,7 @@ SQL = {
     ) + f" UNION ALL SELECT * FROM ({ALL_TIME}) all_t",
     "trending_all_time": ALL_TIME,
     "search_stats": f"SELECT movie_id, collect_count, round(bayesian_rating, 6) AS bayesian_rating FROM ({STATS}) s",
-    "tag_index": f"SELECT tag_type, tag_id, movie_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({index(50)}) t",
+    "tag_index": f"SELECT tag_type, tag_id, movie_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({index(1000)}) t",
     "movie_activity_stats": ACTIVITY,
     "movie_rating_rollup": f"SELECT movie_id, CAST(sum(rating) AS BIGINT) AS rating_sum, count(rating) AS rating_count, {HIST} FROM fx_rating GROUP BY movie_id",
     "precompute_summary": f"""SELECT 'search_stats' AS "table", count(*) AS "rows" FROM ({STATS}) a

@@ -39,6 +39,8 @@ def unit_matrix(column: pa.ChunkedArray) -> np.ndarray:
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks)
     rows = len(lists)
+    if len({*lists.value_lengths().to_pylist()}) > 1:
+        raise ValueError("vectors of different dimensions")
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(rows, -1)
     size = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))

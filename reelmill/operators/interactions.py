@@ -90,7 +90,7 @@ def recent_interactions(ix: DataFrame, per_source: int, overall: int | None) ->
 def cf_pair_weights(ix: DataFrame) -> DataFrame:
     """Clipped sum of strengths per (user, movie) for item similarity."""
     low, high = CF_RANGE
-    total = F.sum(by_action(CF_WEIGHTS, rating_strength()))
+    total = F.coalesce(F.sum(by_action(CF_WEIGHTS, rating_strength())), exact("0"))  # a rating without a value adds nothing
     clipped = F.greatest(exact(low), F.least(exact(high), total))
     return ix.groupBy("user_id", "movie_id").agg(clipped.cast("double").alias("weight"))
 

@@ -39,8 +39,18 @@ def meet(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_key: str,
     return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c"))
 
 
+def one_dimension(corpus: DataFrame, *others: DataFrame) -> tuple[DataFrame, ...]:
+    """The tables without the rows whose vector is empty or not as long as the corpus' first one by id."""
+    dim = corpus.filter(F.size("vec") > 0).agg(F.min_by(F.size("vec"), "item_id")).scalar()
+    return tuple(df.filter(F.size("vec") == dim) for df in (corpus, *others))
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Top k corpus rows per query by cosine: (query_id, vec) x (item_id, vec) -> query_id, item_id, score, rank."""
+    """Top k corpus rows per query by cosine: (query_id, vec) x (item_id, vec) -> query_id, item_id, score, rank.
+
+    Vectors of another dimension than the corpus' are left out.
+    """
+    corpus, queries = one_dimension(corpus, queries)
     result = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -17,14 +17,15 @@ VECTOR_SEED = 20260105
 DRAWS_PER_CHUNK = 1000
 
 
-def kcore(ix: DataFrame, min_user: int = 10, min_item: int = 5, max_rounds: int = 100) -> DataFrame:
+def kcore(ix: DataFrame, min_user: int = 10, min_item: int = 5) -> DataFrame:
     """Drop users and movies with too few rows until nothing changes.
 
     Works on row counts per (user, movie). Each round removes the few failing ids by
-    anti join and is checkpointed; only a row count reaches the driver.
+    anti join and is checkpointed; only a row count reaches the driver. Counts fall until
+    they stay, so the rounds end.
     """
     pairs = cut_lineage(ix.groupBy("user_id", "movie_id").agg(F.count("*").alias("n")))
-    for _ in range(max_rounds):
+    while True:
         thin_users = pairs.groupBy("user_id").agg(F.sum("n").alias("rows")).filter(F.col("rows") < max(min_user, 1))
         thin_items = pairs.groupBy("movie_id").agg(F.sum("n").alias("rows")).filter(F.col("rows") < max(min_item, 1))
         left = cut_lineage(
@@ -34,7 +35,6 @@ def kcore(ix: DataFrame, min_user: int = 10, min_item: int = 5, max_rounds: int
         if left.count() == pairs.count():
             return ix.join(left.select("user_id", "movie_id"), ["user_id", "movie_id"], "left_semi")
         pairs = left
-    raise RuntimeError(f"tail filter not stable after {max_rounds} rounds")
 
 
 def vocabulary(df: DataFrame, column: str, first_index: int = 1) -> DataFrame:

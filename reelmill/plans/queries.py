@@ -63,7 +63,7 @@ def _(cat):
 
 @query("tag_index")
 def _(cat):
-    return stats.tag_index(cat, depth=50).withColumns(r6("score"))
+    return stats.tag_index(cat).withColumns(r6("score"))
 
 
 @query("movie_activity_stats")
@@ -92,7 +92,7 @@ def _(cat):
 
 @query("interactions_recent")
 def _(cat):
-    return stamped(interactions.recent_interactions(interactions.interactions(cat), 2000, 2000), "ts")
+    return stamped(interactions.recent_interactions(interactions.interactions(cat), 300_000, 300_000), "ts")
 
 
 @query("interaction_summary")
@@ -236,7 +236,7 @@ def _(cat):
 
 @query("user_recent_sequence")
 def _(cat):
-    return listed(features.recent_sequence(cat, 10), "movie_ids")
+    return listed(features.recent_sequence(cat), "movie_ids")
 
 
 @query("user_short_history")
@@ -291,11 +291,9 @@ def _(cat):
 
 def _tag_recall(cat: Catalog) -> recall.TagRecall:
     return recall.TagRecall(
-        index=stats.tag_index(cat, depth=50),
-        prefs=recall.top_prefs(cat, n=20, recent=20),
-        excluded=recall.excluded_items(cat, 20),
-        per_key=20,
-        n=20,
+        index=stats.tag_index(cat),
+        prefs=recall.top_prefs(cat),
+        excluded=recall.excluded_items(cat),
     )
 
 
@@ -305,7 +303,7 @@ def _item_vectors(cat: Catalog) -> DataFrame:
 
 def _vector_recall(cat: Catalog) -> recall.VectorRecall:
     return recall.VectorRecall(
-        users=cat.user_vectors, items=_item_vectors(cat), excluded=recall.excluded_items(cat, 20), k=10, n=10
+        users=cat.user_vectors, items=_item_vectors(cat), excluded=recall.excluded_items(cat)
     )
 
 
@@ -328,17 +326,17 @@ def _(cat):
 
 @query("user_director_preferences")
 def _(cat):
-    return recall.director_prefs(cat, recent=20)
+    return recall.director_prefs(cat)
 
 
 @query("user_top_preferences")
 def _(cat):
-    return recall.top_prefs(cat, recent=20)
+    return recall.top_prefs(cat)
 
 
 @query("user_excluded_items")
 def _(cat):
-    return recall.excluded_items(cat, 20)
+    return recall.excluded_items(cat)
 
 
 @query("recall_tag")

@@ -372,3 +372,27 @@ def test_delivery_truncation_and_pages(spark):
 def test_minmax_of_equal_scores_is_zero(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 2.0), (2, 1.0), (2, 3.0)], "user_id bigint, score double")
     assert sorted(values(ranking.minmax(df, ["score"], "user_id"), "user_id", "score")) == [(1, 0.0), (1, 0.0), (2, 0.0), (2, 1.0)]
+
+
+def test_vectors_of_other_dimensions_are_left_out(spark):
+    from reelmill.operators.knn import knn
+
+    items = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0] * 5), (3, [1.0, 1.0, 0.0]), (4, [1.0] * 4)], "item_id long, vec array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0, 0.0]), (8, [1.0] * 4)], "query_id long, vec array<double>")
+    assert sorted((r.query_id, r.item_id) for r in knn(asked, items, 5).collect()) == [(7, 1), (7, 3)]
+
+
+def test_rating_without_value_has_no_weight(spark):
+    from reelmill.operators.interactions import cf_pair_weights
+
+    rows = [(1, 1, "rating", None), (1, 2, "view", None), (2, 1, "rating", 10)]
+    df = spark.createDataFrame(rows, "user_id long, movie_id long, action_type string, rating int")
+    assert sorted(tuple(r) for r in cf_pair_weights(df).collect()) == [(1, 1, 0.0), (1, 2, 0.2), (2, 1, 1.0)]
+
+
+def test_elapsed_of_an_unstarted_task_is_unknown(spark):
+    from reelmill.operators.reports import task_progress
+
+    row = (1, "train_job", "pending", None, None, None, None, None)
+    df = spark.createDataFrame([row], "id long, task_type string, status string, payload string, progress string, result string, started_at timestamp, finished_at timestamp")
+    assert task_progress(df).first()["elapsed_ms"] is None
