@@ -289,7 +289,12 @@ def _(cat):
 # --- recall, ranking, delivery --------------------------------------------------------
 
 
-def _tag_recall(cat: Catalog) -> recall.TagRecall:
+def _tag_recall(cat: Catalog, short: bool = False) -> recall.TagRecall:
+    if short:
+        return recall.TagRecall(
+            index=stats.tag_index(cat, depth=50), prefs=recall.top_prefs(cat, recent=20), excluded=recall.excluded_items(cat, 20),
+            per_key=20, n=20,
+        )
     return recall.TagRecall(
         index=stats.tag_index(cat),
         prefs=recall.top_prefs(cat),
@@ -301,18 +306,19 @@ def _item_vectors(cat: Catalog) -> DataFrame:
     return cat.movie_embeddings.filter(F.size("vec") > 0).select("movie_id", "vec")
 
 
-def _vector_recall(cat: Catalog) -> recall.VectorRecall:
-    return recall.VectorRecall(
-        users=cat.user_vectors, items=_item_vectors(cat), excluded=recall.excluded_items(cat)
-    )
+def _vector_recall(cat: Catalog, short: bool = False) -> recall.VectorRecall:
+    sizes = {"k": 10, "n": 10} if short else {}
+    excluded = recall.excluded_items(cat, 20) if short else recall.excluded_items(cat)
+    return recall.VectorRecall(users=cat.user_vectors, items=_item_vectors(cat), excluded=excluded, **sizes)
 
 
 def _requests(cat: Catalog) -> DataFrame:
     return cat.user.select("user_id")
 
 
-def _merged(cat: Catalog) -> DataFrame:
-    return recall.merge_candidates([r.recall(_requests(cat)) for r in (_tag_recall(cat), _vector_recall(cat))])
+def _merged(cat: Catalog, short: bool = True) -> DataFrame:
+    """Candidates of all users; ranking and delivery keys take the short lists."""
+    return recall.merge_candidates([r.recall(_requests(cat)) for r in (_tag_recall(cat, short), _vector_recall(cat, short))])
 
 
 def _cf_ranker(cat: Catalog) -> ranking.ItemCFRanker:
@@ -351,7 +357,7 @@ def _(cat):
 
 @query("recall_merged")
 def _(cat):
-    return _merged(cat).withColumns(r6("score"))
+    return _merged(cat, short=False).withColumns(r6("score"))
 
 
 @query("minmax_scale")
@@ -376,7 +382,7 @@ def _(cat):
 
 
 def _recommended(cat: Catalog) -> DataFrame:
-    flow = Recommender([_tag_recall(cat), _vector_recall(cat)], _cf_ranker(cat), n=30)
+    flow = Recommender([_tag_recall(cat, True), _vector_recall(cat, True)], _cf_ranker(cat), n=30)
     return flow.recommend(_requests(cat))
 
 
