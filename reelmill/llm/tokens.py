@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHE = 400_000  # pieces whose ids a task keeps
+CACHE = 1_000_000  # pieces whose ids a worker keeps, about 200 MB; further ones are encoded each time
 
 # How the two tokenizer files split a text before merging. Only for characters whose class no Unicode version changed.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
@@ -30,21 +30,25 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split, self.lower = _SPLITS[style], style == "word"
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         pieces = self.split.findall(text.lower() if self.lower else text)
-        new = [p for p in set(pieces) if p not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = list(set(pieces))
-            for piece, found in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                self.known[piece] = found.ids
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), np.uint32)
+        try:
+            return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint32)
+        except KeyError:
+            new = [p for p in set(pieces) if p not in self.known]
+        coded = self.library.encode_batch(new, add_special_tokens=False)
+        found = {p: np.array(c.ids, np.uint32).tobytes() for p, c in zip(new, coded)}
+        if len(self.known) < CACHE:
+            self.known.update(found)
+            found = self.known
+        else:
+            found = ChainMap(found, self.known)
+        return np.frombuffer(b"".join(map(found.__getitem__, pieces)), np.uint32)
 
 
 @lru_cache(maxsize=2)
