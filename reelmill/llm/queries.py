@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import decontaminate, fingerprints, minhash, packing, secrets, sharding, tokenfiles, toxicity, urlfilter
+from reelmill.llm import decontaminate, fingerprints, licenses, minhash, packing, secrets, sharding, tokenfiles, toxicity, urlfilter
 from reelmill.llm.common import table
 from reelmill.session import fresh_path
 
@@ -21,6 +21,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_probe(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -72,6 +76,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fingerprints, op3_near_duplicates, op4_shards, op5_contamination, op6_toxicity, op7_url_filter, op8_secrets,
+    for f in (op1_fingerprints, op2_licenses, op3_near_duplicates, op4_shards, op5_contamination, op6_toxicity, op7_url_filter, op8_secrets,
               op9_token_files, op10_packing)
 }

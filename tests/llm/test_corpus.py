@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from reelmill.llm import (
-    components, decontaminate, fingerprints, minhash, packing, queries, secrets, sharding, tokenfiles, toxicity, urlfilter,
+    components, decontaminate, fingerprints, licenses, minhash, packing, queries, secrets, sharding, tokenfiles, toxicity, urlfilter,
 )
 from reelmill.session import fresh_path
 from tests.conftest import SF
@@ -339,6 +339,22 @@ def test_secrets_of_odd_input(odd, empty):
     assert same.columns == odd.columns and sorted(map(str, same.collect())) == sorted(map(str, odd.collect()))
 
 
+# --- licenses -----------------------------------------------------------------
+
+
+def test_licenses(spark, rows, odd, empty):
+    for name, notice in licenses.TEMPLATES.items():
+        found = licenses.found_in(f"Some words before. {notice}\nAnd some after it.")
+        assert [(n, d) for n, _, _, d in found] == [(name, 0)]
+    assert licenses.found_in("A licensed plumber came by in the afternoon and left.") == [] == licenses.found_in(None)
+    got = {r.doc_id: r for r in queries.op2_licenses(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for doc, text in rows:
+        exact = sum(text.count(t) for t in ("Released under the MIT License.", "Licensed under the Apache License, Version 2.0."))
+        assert got[doc].n_licenses >= exact and (got[doc].n_licenses == 0 or "icense" in text)
+    assert licenses.scan(odd).count() == len(ODD) and licenses.scan(empty).collect() == []
+
+
 # --- token files and packing --------------------------------------------------
 
 
