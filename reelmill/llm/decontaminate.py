@@ -77,7 +77,7 @@ def _hits(docs: DataFrame, items: DataFrame, keys: list[str], gram: int, window:
 
 def hits(docs: DataFrame, items: DataFrame, keys: list[str], span: int = SPAN, gram: int = 5) -> DataFrame:
     """Matching spans of ``docs(keys, hashes)``; ``items(item_id, hashes)`` of fewer words than ``span`` match whole."""
-    short = [r[0] for r in items.select(F.size("hashes").alias("n")).filter(f"n BETWEEN 1 AND {span - 1}").distinct().collect()]
+    short = [r[0] for r in items.select(F.size("hashes").alias("n")).filter(f"n BETWEEN 1 AND {span - 1}").distinct().toLocalIterator()]
     found = _hits(docs, items.filter(F.size("hashes") >= span), keys, gram, span - gram + 1, span)
     for n in sorted(short):  # at most span - 1 lengths
         found = found.unionByName(_hits(docs, items.filter(F.size("hashes") == n), keys, n, 1, n))

@@ -151,7 +151,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     ranged, _ = doc_buckets(docs.withColumn("_tie", F.xxhash64("text")))
     order = F.struct(F.col("doc_id"), F.col("_tie"))
-    firsts = ranged.groupBy("_range").agg(F.min(order).alias("first")).orderBy("_range").collect()  # one row per range
+    firsts = list(ranged.groupBy("_range").agg(F.min(order).alias("first")).orderBy("_range").toLocalIterator())  # one row per range
     ranged = ranged.withColumn("_halo", F.lit(False))
     if not firsts:
         return ranged.withColumns({"next_text": F.lit(None).cast("string"), "_wraps": F.lit(False)})

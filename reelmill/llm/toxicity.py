@@ -74,7 +74,7 @@ def vocabulary(examples: DataFrame) -> list[str]:
     seen = seen.withColumn("strength", 2 * (gain("a", share) + gain("b", 1 - share)))
     by_chance = 2 * math.log(2 * max(seen.count(), 1))  # about half a feature of all those tested is as strong by chance
     seen = seen.filter((rate_a >= LIFT * rate_b) & (F.col("strength") >= by_chance))
-    return [r["feature"] for r in seen.orderBy(F.desc("strength"), "feature").limit(VOCABULARY).collect()]
+    return [r["feature"] for r in seen.orderBy(F.desc("strength"), "feature").limit(VOCABULARY).toLocalIterator()]
 
 
 def _vectors(names: list[str]):
@@ -214,11 +214,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     vectors = cut_lineage(docs.mapInPandas(_vectors(names), f"doc_id {dict(docs.dtypes)['doc_id']}, terms array<int>, counts array<int>"))
     total = vectors.count()
     counted = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    df_of = {r["t"]: r["n"] for r in counted.collect()}  # at most VOCABULARY rows
+    df_of = {r["t"]: r["n"] for r in counted.toLocalIterator()}  # at most VOCABULARY rows
     idf = np.array([math.log((1 + total) / (1 + df_of.get(i, 0))) + 1 for i in range(len(names))])
     rows = vectors.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
     bare = rows.filter(F.size("terms") == 0).agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    rest = rows.filter(F.size("terms") > 0).orderBy("doc_id").collect()  # at most EXAMPLES short vectors
+    rest = list(rows.filter(F.size("terms") > 0).orderBy("doc_id").toLocalIterator())  # at most EXAMPLES short vectors
     ones = sum(r["toxic"] for r in rest)
     model = Model(names, idf, Index.build([], [], []), (ones + 1) / (len(rest) + 2), ((bare["t"] or 0) + 0.1) / (bare["n"] + 1))
     units = [model.unit(r["terms"], r["counts"]) for r in rest]
