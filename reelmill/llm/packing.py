@@ -39,8 +39,8 @@ def _cut(path: str, style: str, capacity: int):
         ids_of = encoder(path, style)
         for batch in batches:
             rows: list[tuple] = []
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.append(ids_of(text), np.uint32(END)).astype("<u4")
+            for at, found in enumerate(ids_of(batch.column("text").to_pylist())):
+                ids = np.append(found, np.uint32(END)).astype("<u4")
                 rows += [(at, n, start, min(capacity, len(ids) - start), zlib.crc32(ids[start : start + capacity].tobytes()))
                          for n, start in enumerate(range(0, len(ids), capacity))]
             columns = list(zip(*rows)) if rows else [()] * 5

@@ -29,7 +29,7 @@ def _encode(path: str, style: str):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(path, style)
         for batch in batches:
-            ids = [np.append(ids_of(t), np.uint32(END)) for t in batch.column("text").to_pylist()]
+            ids = [np.append(found, np.uint32(END)) for found in ids_of(batch.column("text").to_pylist())]
             ends = np.cumsum([0] + [len(i) for i in ids], dtype=np.int32)
             flat = np.concatenate(ids).view(np.int32) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections import ChainMap
+import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHE = 1_000_000  # pieces whose ids a worker keeps, about 200 MB; further ones are encoded each time
+CACHE = 600_000  # chunks, and pieces, whose ids a worker keeps, about 100 MB each; further ones are encoded each time
+PORTION = 1_000_000  # characters of texts that are split together
 
 # How the two tokenizer files split a text before merging. Only for characters whose class no Unicode version changed.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
@@ -17,38 +20,71 @@ _SPLITS = {
     "byte": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
     "word": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
 }
+_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")  # ends of these are ends of "byte" pieces too
 
 
 class Encoder:
     """Ids of texts as the tokenizers library gives them without special tokens.
 
-    The library encodes every piece (word) once; texts are put together from their pieces. A text with characters
-    beyond Latin-1, or with the string of a special token, is encoded whole.
+    Texts are put together from chunks (between spaces) and chunks from pieces; the library encodes every piece once. A
+    text with characters beyond Latin-1, or with the string of a special token, is encoded whole.
     """
 
     def __init__(self, path: str, style: str):
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split, self.lower = _SPLITS[style], style == "word"
-        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        text = text or ""
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        return list(chain.from_iterable(map(self._ids, _portions(texts))))
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self._split(t) for t in texts]
+        known = _known(self.chunks, set(chain.from_iterable(s for s in split if s is not None)), self._from_pieces)
+        return [
+            np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if s is None
+            else np.frombuffer(b"".join(map(known.__getitem__, s)), np.uint32)
+            for t, s in zip(texts, split)
+        ]
+
+    def _split(self, text: str) -> list[str] | None:
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = self.split.findall(text.lower() if self.lower else text)
-        try:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint32)
-        except KeyError:
-            new = [p for p in set(pieces) if p not in self.known]
-        coded = self.library.encode_batch(new, add_special_tokens=False)
-        found = {p: np.array(c.ids, np.uint32).tobytes() for p, c in zip(new, coded)}
-        if len(self.known) < CACHE:
-            self.known.update(found)
-            found = self.known
-        else:
-            found = ChainMap(found, self.known)
-        return np.frombuffer(b"".join(map(found.__getitem__, pieces)), np.uint32)
+            return None
+        return text.lower().split() if self.lower else _CHUNK.findall(text)
+
+    def _from_pieces(self, chunks: list[str]) -> dict[str, bytes]:
+        split = list(map(self.split.findall, chunks))
+        known = _known(self.pieces, set(chain.from_iterable(split)), self._encoded)
+        return {c: b"".join(map(known.__getitem__, s)) for c, s in zip(chunks, split)}
+
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        coded = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.array(coded.ids, np.uint32).tobytes(), np.array(coded.word_ids, np.int64)
+        ends = np.searchsorted(of, np.arange(len(pieces) + 1)) * 4
+        return {p: ids[a:b] for p, a, b in zip(pieces, ends[:-1].tolist(), ends[1:].tolist())}
+
+
+def _known(cache: dict[str, bytes], wanted: set[str], find) -> dict[str, bytes]:
+    """The ids of the wanted strings; new ones are found, and kept while there is room."""
+    new = [w for w in wanted if w not in cache]
+    found = find(new) if new else {}
+    if len(cache) < CACHE:
+        cache.update(found)
+        return cache
+    return {w: cache[w] for w in wanted if w not in found} | found
+
+
+def _portions(texts: list[str | None]) -> Iterator[list[str]]:
+    part, n = [], 0
+    for text in texts:
+        part.append(text or "")
+        n += len(part[-1])
+        if n > PORTION:
+            yield part
+            part, n = [], 0
+    yield part
 
 
 @lru_cache(maxsize=2)

@@ -378,11 +378,16 @@ def test_token_files(spark, rows, odd, empty):
 
 
 @pytest.mark.parametrize("style", ["byte", "word"])
-def test_pieces_give_the_library_ids(style):
+def test_pieces_give_the_library_ids(style, monkeypatch):
     path = queries.BYTE_TOKENIZER if style == "byte" else queries.WORD_TOKENIZER
     texts = ["", "It's  a\n\n test\t 12 345!!", "Éa ñ ß ¡hola! ½ ²", "日本語 text", "a<|endoftext|>b", "x\x1cy\xa0z", "I'LL don't ' s", "𝄞 é", "  lead", "trail  "]
-    encode = tokenfiles.encoder(path, style)
-    assert [encode(t).tolist() for t in texts] == [i[:-1].tolist() for i in plain_ids(path, texts)]
+    texts += [" x\n y \n\n\nz ", "'s 's \r\n don't  'll", "a \n \nb", "\t", " "]
+    want = [i[:-1].tolist() for i in plain_ids(path, texts)]
+    encode = tokens.Encoder(path, style)
+    assert [ids.tolist() for ids in encode(texts)] == want and [ids.tolist() for ids in encode([None])] == [[]]
+    monkeypatch.setattr(tokens, "CACHE", 3)  # a full cache changes nothing
+    encode = tokens.Encoder(path, style)
+    assert [ids.tolist() for t in [*texts, *texts] for ids in encode([t])] == want + want
 
 
 def test_packing(spark, rows, odd, empty):
