@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from reelmill.llm import (
-    components, decontaminate, fingerprints, licenses, minhash, packing, queries, secrets, sharding, tokenfiles, toxicity, urlfilter,
+    components, decontaminate, fingerprints, licenses, minhash, packing, queries, secrets, sharding, tokenfiles, tokens, toxicity, urlfilter,
 )
 from reelmill.session import fresh_path
 from tests.conftest import SF
