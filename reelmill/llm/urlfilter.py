@@ -1,8 +1,9 @@
 """URL filters by a tree of path templates per host.
 
 Rules decide what they fit; their verdicts are the labels of the tree. Level by level, the branches of a node (host and
-template so far) are counted. Variable segments (numbers, long hex, one of many rare siblings) become ``*``; other siblings whose labels
-are statistically alike (clearly blocked, clearly allowed, neither) are merged. A template is rejected if the share of
+template so far) are counted, repeated urls as often as they occur. Variable segments (numbers, long hex, one of many rare siblings without
+labels) become ``*``; other siblings are merged if they are clearly blocked, clearly allowed or without labels. Unclear ones are merged
+only if their shares agree, and stay apart otherwise. A template is rejected if the share of
 blocked pages among its labelled ones, smoothed towards a prior, reaches the threshold; without labels it is allowed.
 """
 
@@ -55,16 +56,34 @@ def _sign(blocked: Column, labelled: Column) -> Column:
     return F.when(labelled == 0, "?").when(middle - half > 0.5, "+").when(middle + half < 0.5, "-").otherwise("?")
 
 
+def _weighed(label: Column, times: Column) -> Column:
+    return F.coalesce(F.sum(label * times), F.lit(0))
+
+
 def _branches(level: DataFrame) -> DataFrame:
-    """For every branch of a level (host, prefix, segment) the template segment that stands for it."""
+    """For every branch of a level (host, prefix, segment) the template segment that stands for it.
+
+    Unclear branches are merged if a chi-squared test over all unclear siblings finds no difference of their shares.
+    """
     branch = level.groupBy("host", "prefix", "segment").agg(
-        F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
-    node = branch.groupBy("host", "prefix").agg(F.sum("n").alias("total"), F.count("*").alias("siblings"))
-    branch = branch.withColumn("sign", _sign(F.col("blocked"), F.col("labelled")))
-    told = cut_lineage(branch).join(cut_lineage(node), ["host", "prefix"])
-    variable = F.col("segment").rlike("^[0-9]+$|^[0-9a-fA-F-]{16,}$") | (
-        (F.col("siblings") >= FANOUT) & (F.col("n") < RARE * F.col("total")))
-    return cut_lineage(told.select("host", "prefix", "segment", F.when(variable, "*").otherwise(F.concat(F.lit("~"), "sign")).alias("step")))
+        F.sum("times").alias("n"), _weighed(F.col("label").isNotNull().cast("int"), F.col("times")).alias("labelled"),
+        _weighed(F.col("label"), F.col("times")).alias("blocked"))
+    branch = cut_lineage(branch.withColumn("sign", _sign(F.col("blocked"), F.col("labelled"))))
+    unclear = (F.col("sign") == "?") & (F.col("labelled") > 0)
+    of = lambda value: F.coalesce(F.sum(F.when(unclear, value)), F.lit(0))
+    node = branch.groupBy("host", "prefix").agg(
+        F.sum("n").alias("total"), F.count("*").alias("siblings"), of(F.lit(1)).alias("_k"), of(F.col("labelled")).alias("_n"),
+        of(F.col("blocked")).alias("_b"), of(F.col("blocked") * F.col("blocked") / F.col("labelled")).alias("_s"))
+    spread = F.col("_s") - F.col("_b") * F.col("_b") / F.greatest("_n", F.lit(1))
+    chance = F.col("_b") / F.greatest("_n", F.lit(1)) * (1 - F.col("_b") / F.greatest("_n", F.lit(1)))
+    free = F.greatest(F.col("_k") - 1, F.lit(0))
+    node = node.select("host", "prefix", "total", "siblings", (spread <= chance * (free + Z * F.sqrt(2 * free)) + 1e-9).alias("agree"))
+    told = branch.join(cut_lineage(node), ["host", "prefix"])
+    number = F.col("segment").rlike("^[0-9]+$|^[0-9a-fA-F-]{16,}$")
+    rare = (F.col("labelled") == 0) & (F.col("siblings") >= FANOUT) & (F.col("n") < RARE * F.col("total"))
+    step = (F.when(number | rare, "*").when(F.col("labelled") == 0, "~").when((F.col("sign") != "?") | F.col("agree"), F.concat(F.lit("~"), "sign"))
+            .otherwise(F.concat(F.lit("="), "segment")))
+    return cut_lineage(told.select("host", "prefix", "segment", step.alias("step")))
 
 
 def templates(df: DataFrame, url_col: str = "url", rules: list[tuple[str, str, str]] | None = None) -> DataFrame:

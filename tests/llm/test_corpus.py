@@ -297,6 +297,28 @@ def test_tree_rejects_by_labels(spark):
     assert all(r.verdict == ("block" if "/ads/" in r.path else "allow") for r in got) and any(r.rule is None for r in got)
 
 
+def test_hot_blocked_url_beside_clean_siblings(spark):
+    def judged(urls):
+        rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        return {r.path: r for r in urlfilter.judge(rows).collect()}
+
+    for times in (1, 3, 5, 50):  # rows of the one blocked url, which the default rules label
+        got = judged(["http://x.example.com/de/1"] * times + [f"http://x.example.com/en/{i}" for i in range(2, 6)])
+        assert got["/de/1"].verdict == "block" and all(got[f"/en/{i}"].verdict == "allow" for i in range(2, 6))
+    got = judged(["http://x.example.com/de/1"] * 5 + [f"http://x.example.com/word{chr(97 + i % 26)}{i}x/2" for i in range(200)])
+    assert all((r.verdict == "block") == (p == "/de/1") for p, r in got.items())  # a rare labelled sibling is no variable
+    got = judged(["http://x.example.com/de/1"] * 5 + [f"http://x.example.com/de/{i}" for i in range(2, 9)] + ["http://x.example.com/en/2"])
+    assert got["/de/1"].template == got["/de/8"].template != got["/en/2"].template and got["/de/1"].purity > 0.7
+
+
+def test_unclear_branches_merge_only_if_they_agree(spark):
+    rules = [("h.com", f"/{a}{i}/1", v) for a, v, k in (("bad", "block", 6), ("good", "allow", 2)) for i in range(k)]
+    apart = [f"http://h.com/{a}{i}/{n}" for a, k in (("bad", 6), ("good", 2)) for i in range(k) for n in (10, 11, 22)]
+    for urls, verdicts in ((apart, {"bad": {"allow"}, "good": {"allow"}}), ([u for u in apart if "bad" in u], {"bad": {"block"}})):
+        got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).filter("rule IS NULL").collect()
+        assert {a: {r.verdict for r in got if a in r.path} for a in verdicts} == verdicts
+
+
 # --- secrets ------------------------------------------------------------------
 
 
