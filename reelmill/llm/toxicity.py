@@ -1,19 +1,21 @@
 """Toxicity by the nearest labelled examples.
 
 Features of a text are its words and their beginnings of 4 and 5 letters. Those that labelled toxic texts use far more
-often than clean ones (likelihood ratio, against what chance would bring among all features tested) make the vocabulary. Texts become TF-IDF vectors of unit length over it; document frequencies are
+often than clean ones (likelihood ratio, against what chance would bring among all features tested) make the vocabulary; near copies of
+one example count once there. Texts become TF-IDF vectors of unit length over it; document frequencies are
 counted over all documents. The ``NEIGHBOURS`` examples of highest cosine are found exactly with an inverted index in blocks:
 a block whose best possible cosine does not beat the worst neighbour found so far is not opened. Their labels vote, closer
 ones more; votes are calibrated on the examples, each left out in turn. A text without any feature of the vocabulary
 has no neighbours and gets the rate of such texts among the examples.
 
-Learning is bounded: at most ``EXAMPLES`` labelled rows (drawn by a hash of the id) and ``VOCABULARY`` features.
+Learning is bounded by at most ``EXAMPLES`` labelled rows (drawn by a hash of the id); all features that pass are kept.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelmill.llm.common import pick
-from reelmill.session import cut_lineage
+from reelmill.session import broadcast_if_small, cut_lineage
 
 EXAMPLES = 20_000
-VOCABULARY = 1_024
 NEIGHBOURS = 15
 BLOCK = 64
 LIFT = 6.0  # a feature is this many times likelier in toxic than in clean examples
 SUPPORT = 3
+BANDS, ROWS = 16, 6  # MinHash bands of 3-word runs: near copies of similarity 0.8 share one in 99 % of cases, of 0.3 in 1 %
 
 _WORD = re.compile(r"\w+")
 
@@ -60,8 +62,35 @@ def _present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"feature": names, "toxic": int(toxic)})
 
 
+_FACTORS = np.random.default_rng(6).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
+
+
+def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for text, toxic in zip(batch["text"], batch["toxic"]):
+            words = _WORD.findall((text or "").lower())
+            code = {w: zlib.crc32(w.encode("utf-8", "replace")) for w in set(words)}
+            h = np.array([code[w] for w in words] + [1] * max(0, 3 - len(words)), np.uint64)
+            runs = np.unique((h[:-2] * _FACTORS[0, 1] + h[1:-1]) * _FACTORS[1, 1] + h[2:])
+            low = np.array([(((runs ^ (runs >> np.uint64(29))) * f + g) >> np.uint64(24)).min() for f, g in _FACTORS])
+            out.append([zlib.crc32(part.tobytes()) << 8 | at << 1 | int(toxic) for at, part in enumerate(low.reshape(BANDS, ROWS))])
+        yield pd.DataFrame({"key": batch["key"], "row": batch["row"], "band": out})
+
+
+def distinct(examples: DataFrame) -> DataFrame:
+    """The examples without those that nearly copy another one of the same label; which one stays does not depend on row order."""
+    keyed = cut_lineage(examples.select("text", "toxic", F.xxhash64("text", "toxic").alias("key"), F.monotonically_increasing_id().alias("row")))
+    told = cut_lineage(keyed.mapInPandas(_bands, "key long, row long, band array<long>"))
+    told = told.select(F.struct("key", "row").alias("at"), F.explode("band").alias("band"))
+    first = told.groupBy("band").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = told.join(broadcast_if_small(first), "band").filter(F.col("at") > F.col("first")).select("at.row").distinct()
+    return keyed.join(broadcast_if_small(later), "row", "left_anti")
+
+
 def vocabulary(examples: DataFrame) -> list[str]:
     """Features of toxic examples, by strength of association; ``examples(text, toxic)`` is bounded, the list too."""
+    examples = cut_lineage(distinct(examples))
     totals = examples.agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).first()
     if not totals["toxic"] or not totals["clean"]:
         return []
@@ -74,7 +103,7 @@ def vocabulary(examples: DataFrame) -> list[str]:
     seen = seen.withColumn("strength", 2 * (gain("a", share) + gain("b", 1 - share)))
     by_chance = 2 * math.log(2 * max(seen.count(), 1))  # about half a feature of all those tested is as strong by chance
     seen = seen.filter((rate_a >= LIFT * rate_b) & (F.col("strength") >= by_chance))
-    return [r["feature"] for r in seen.orderBy(F.desc("strength"), "feature").limit(VOCABULARY).toLocalIterator()]
+    return [r["feature"] for r in seen.orderBy(F.desc("strength"), "feature").toLocalIterator()]
 
 
 def _vectors(names: list[str]):
@@ -210,11 +239,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     told = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna()
     told = told.filter(in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = cut_lineage(told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES))
-    names = vocabulary(cut_lineage(docs.join(F.broadcast(drawn), "doc_id")))  # at most EXAMPLES ids
+    names = vocabulary(docs.join(F.broadcast(drawn), "doc_id"))  # at most EXAMPLES ids
     vectors = cut_lineage(docs.mapInPandas(_vectors(names), f"doc_id {dict(docs.dtypes)['doc_id']}, terms array<int>, counts array<int>"))
     total = vectors.count()
     counted = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    df_of = {r["t"]: r["n"] for r in counted.toLocalIterator()}  # at most VOCABULARY rows
+    df_of = {r["t"]: r["n"] for r in counted.toLocalIterator()}  # one row per feature of the vocabulary
     idf = np.array([math.log((1 + total) / (1 + df_of.get(i, 0))) + 1 for i in range(len(names))])
     rows = vectors.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
     bare = rows.filter(F.size("terms") == 0).agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()

@@ -247,6 +247,21 @@ def test_toxicity_on_held_out_labels(spark):
     assert caught > 0.8 and wrong < 0.03 and all(0 <= r.score <= 1 for r in told)
 
 
+def test_copied_example_does_not_crowd_out_the_vocabulary(spark):
+    insults = [f"insult{c}" * 2 for c in "abcdefghij"]
+    draw = random.Random(3)
+    words = ["".join(draw.choices("bcdfglmnprst", k=9)) for _ in range(2000)]
+    plain = [f"plain{i}" for i in range(300)]
+    long = [" ".join(words)] * 100 + [" ".join(words[:i] + ["other"] + words[i + 1 :]) for i in range(100)]  # copies and near copies
+    texts = [(t, 1) for t in long]
+    texts += [(" ".join(draw.sample(plain, 20) + draw.sample(insults, 5)), 1) for _ in range(60)]
+    texts += [(" ".join(draw.sample(plain, 25)), 0) for _ in range(600)]
+    names = toxicity.vocabulary(spark.createDataFrame(texts, "text string, toxic int"))
+    assert {"=" + w for w in insults} <= set(names) and not {"=" + w for w in words} & set(names)
+    many = [(" ".join(draw.sample(words, 1500)), 1) for _ in range(20)] + texts[200:]  # distinct texts, all of their features stay
+    assert len(toxicity.vocabulary(spark.createDataFrame(many, "text string, toxic int"))) > 1024
+
+
 def test_index_search_is_exact():
     draw = random.Random(1)
 
