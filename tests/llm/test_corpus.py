@@ -392,6 +392,20 @@ def test_licenses(spark, rows, odd, empty):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(empty).collect() == []
 
 
+def test_full_license_texts_and_headers():
+    for name in licenses.FULL:
+        words = " ".join(licenses._full()[0][name])
+        assert [(n, d) for n, _, _, d in licenses.found_in(f"Words before these. {words}\nAnd others after it.")] == [(name, 0)]
+    twice = " ".join(licenses._full()[0]["MIT"])
+    assert [n for n, *_ in licenses.found_in(f"{twice} {twice}")] == ["MIT", "MIT"]
+    words = licenses._full()[0]["MIT"][:]
+    words[::9] = ["changed"] * len(words[::9])
+    assert [n for n, *_ in licenses.found_in(" ".join(words))] == ["MIT"]
+    header = "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"
+    assert [n for n, *_ in licenses.found_in(header)] == ["GPL"]
+    assert [n for n, *_ in licenses.found_in("// SPDX-License-Identifier: MIT")] == ["MIT"]
+
+
 # --- token files and packing --------------------------------------------------
 
 
