@@ -406,6 +406,15 @@ def test_full_license_texts_and_headers():
     assert [n for n, *_ in licenses.found_in("// SPDX-License-Identifier: MIT")] == ["MIT"]
 
 
+def test_look_alike_licenses():
+    for text, names in (("Released under the BSD License.", ["BSD"]), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+                        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2"]),
+                        ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]), ("Released under the XYZ License.", []),
+                        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3"]),
+                        ("Licensed under the MIT License.", ["MIT"])):
+        assert [n for n, *_ in licenses.found_in(text)] == names
+
+
 # --- token files and packing --------------------------------------------------
 
 
