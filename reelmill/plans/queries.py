@@ -620,7 +620,7 @@ def _(cat):
 
 @query("als_item_vectors")
 def _(cat):
-    _, items = vectors.fit_vectors(interactions.implicit_strength(interactions.interactions(cat)), dim=16)
+    _, items = vectors.fit_vectors(interactions.implicit_strength(interactions.interactions(cat)), dim=64)
     items = cut_lineage(items)
     cold = vectors.cold_item_vectors(items, cat.movie_tag)
     return items.withColumn("kind", F.lit("learned")).unionByName(cold.withColumn("kind", F.lit("cold")))
