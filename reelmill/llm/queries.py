@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import decontaminate, fingerprints, licenses, minhash, packing, secrets, sharding, tokenfiles, toxicity, urlfilter
+from reelmill.llm import (
+    decontaminate, fingerprints, importance, licenses, minhash, packing, secrets, sharding, spelling, tokenfiles, toxicity, urlfilter, warc,
+)
 from reelmill.llm.common import table
 from reelmill.session import fresh_path
 
@@ -74,8 +76,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), WORD_TOKENIZER, "word"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return warc.page_rows(warc.read_archives(files, with_payload=False))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_fingerprints, op2_licenses, op3_near_duplicates, op4_shards, op5_contamination, op6_toxicity, op7_url_filter, op8_secrets,
-              op9_token_files, op10_packing)
+              op9_token_files, op10_packing, op11_importance, op12_warc, op13_spelling)
 }
