@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import pick
+from reelmill.llm.common import free_name, pick
 from reelmill.operators.ordering import with_position
 from reelmill.session import cut_lineage
 
 BUCKETS = 10_000
 RUN = 3
-PORTION = 16 << 20  # bytes of texts that share a dictionary
+PORTION = 4 << 20  # bytes of texts that share a dictionary
 LONG = 64  # longer words stand in the dictionary by a number, so its depth is bounded
 SEED = 42
 
@@ -80,7 +80,7 @@ class Dictionary:
     def __init__(self, texts: list[bytes]):
         self.long: dict[bytes, bytes] = {}
         self.texts = [_LONG.sub(self._stand_in, t) for t in texts]
-        words = list(set().union(*(t.split() for t in self.texts)))
+        words = sorted(set().union(*(t.split() for t in self.texts)))  # neighbours in the automaton lie together
         names = {short: word for word, short in self.long.items()}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, word in enumerate(words):
@@ -220,7 +220,6 @@ def resample(df: DataFrame, target: DataFrame, percent: int = 5, min_words: int
     """The rows of ``df`` that are drawn, all columns. A repeated row stays whole if one of its copies is drawn."""
     found = ranked(df, target, percent, min_words, id_col, text_col, seed).filter("rank IS NOT NULL")
     keys = found.select(F.col("doc_id").alias("id"), "text_hash").distinct()
-    # the two keys travel in one column, whose name is free in df
-    name = "_" + "_".join(df.columns)
+    name = free_name(df)
     told = df.withColumn(name, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")))
     return told.join(keys.select(F.struct("id", "text_hash").alias(name)), name, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
