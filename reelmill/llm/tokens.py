@@ -3,88 +3,83 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
-CACHE = 600_000  # chunks, and pieces, whose ids a worker keeps, about 100 MB each; further ones are encoded each time
-PORTION = 1_000_000  # characters of texts that are split together
+CACHE = 300_000  # pieces in each of two generations of a worker's cache, about 60 MB each
+KEPT = 64  # longer pieces are not kept
 
 # How the two tokenizer files split a text before merging. Only for characters whose class no Unicode version changed.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"  # letters and numbers among them
 _SPLITS = {
-    "byte": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
-    "word": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
+    "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"),
+    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"),
 }
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")  # ends of these are ends of "byte" pieces too
+# Characters that stand for bytes in both files; a byte that is no visible Latin-1 character is moved up.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_MOVED = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _VISIBLE)}
+_SPACE = chr(_MOVED[0x20])
+
+
+class _Known(dict):
+    """Ids of known pieces in two generations; a missing piece is looked up in the old one, then encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(piece) <= KEPT:
+            self[piece] = ids
+        return ids
+
+    def age(self) -> None:
+        """A full generation becomes the old one."""
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
     """Ids of texts as the tokenizers library gives them without special tokens.
 
-    Texts are put together from chunks (between spaces) and chunks from pieces; the library encodes every piece once. A
-    text with characters beyond Latin-1, or with the string of a special token, is encoded whole.
+    Texts are split into pieces; the library's model encodes a piece when it is new. Two generations of known pieces are
+    kept: a full one becomes the old one, and a piece found there is taken over, so frequent pieces stay and memory is bounded
+    however many pieces there are. A text with characters beyond Latin-1, or with the string of a special token, is
+    encoded whole.
     """
 
     def __init__(self, path: str, style: str):
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split, self.lower = _SPLITS[style], style == "word"
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known = _Known(self._encoded)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        return list(chain.from_iterable(map(self._ids, _portions(texts))))
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self._split(t) for t in texts]
-        known = _known(self.chunks, set(chain.from_iterable(s for s in split if s is not None)), self._from_pieces)
-        return [
-            np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if s is None
-            else np.frombuffer(b"".join(map(known.__getitem__, s)), np.uint32)
-            for t, s in zip(texts, split)
-        ]
-
-    def _split(self, text: str) -> list[str] | None:
+        return [self._ids(t or "") for t in texts]
+
+    def _ids(self, text: str) -> np.ndarray:
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return None
-        return text.lower().split() if self.lower else _CHUNK.findall(text)
-
-    def _from_pieces(self, chunks: list[str]) -> dict[str, bytes]:
-        split = list(map(self.split.findall, chunks))
-        known = _known(self.pieces, set(chain.from_iterable(split)), self._encoded)
-        return {c: b"".join(map(known.__getitem__, s)) for c, s in zip(chunks, split)}
-
-    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
-        coded = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.array(coded.ids, np.uint32).tobytes(), np.array(coded.word_ids, np.int64)
-        ends = np.searchsorted(of, np.arange(len(pieces) + 1)) * 4
-        return {p: ids[a:b] for p, a, b in zip(pieces, ends[:-1].tolist(), ends[1:].tolist())}
-
-
-def _known(cache: dict[str, bytes], wanted: set[str], find) -> dict[str, bytes]:
-    """The ids of the wanted strings; new ones are found, and kept while there is room."""
-    new = [w for w in wanted if w not in cache]
-    found = find(new) if new else {}
-    if len(cache) < CACHE:
-        cache.update(found)
-        return cache
-    return {w: cache[w] for w in wanted if w not in found} | found
-
-
-def _portions(texts: list[str | None]) -> Iterator[list[str]]:
-    part, n = [], 0
-    for text in texts:
-        part.append(text or "")
-        n += len(part[-1])
-        if n > PORTION:
-            yield part
-            part, n = [], 0
-    yield part
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.known.age()
+        pieces = self.split.findall(text.lower() if self.lower else text)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint32)
+
+    def _encoded(self, piece: str) -> bytes:
+        if piece.isascii() and not piece.isspace():  # of the characters that are moved only a space can occur
+            seen = piece.replace(" ", _SPACE)
+        else:
+            seen = piece.encode().decode("latin-1").translate(_MOVED)
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
 
 
 @lru_cache(maxsize=2)
