@@ -36,5 +36,10 @@ def pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def free_name(df: DataFrame) -> str:
+    """A name that no column of ``df`` has."""
+    return "_" + "_".join(df.columns)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

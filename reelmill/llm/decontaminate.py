@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import let, pick, words
+from reelmill.llm.common import free_name, let, pick, words
 from reelmill.session import broadcast_if_small, cut_lineage
 
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -95,8 +95,9 @@ def without_benchmark(df: DataFrame, benchmark: DataFrame, text_col: str = "text
     """The rows that share no span with the benchmark, all columns. Equal texts share a fate, so only text hashes are joined."""
     key = F.struct(F.xxhash64(text_col).alias("a"), F.xxhash64(text_col, F.lit(1)).alias("b"))
     docs = df.select(key.alias("_text_id"), F.col(text_col).alias("text"))
-    hit = cut_lineage(_met(docs, benchmark, ["_text_id"], item_col, item_text_col, span).select(F.col("_text_id").alias("_hit")).distinct())
-    return df.join(broadcast_if_small(hit), key == F.col("_hit"), "left_anti")
+    name = free_name(df)
+    hit = cut_lineage(_met(docs, benchmark, ["_text_id"], item_col, item_text_col, span).select(F.col("_text_id").alias(name)).distinct())
+    return df.withColumn(name, key).join(broadcast_if_small(hit), name, "left_anti").drop(name)
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -159,10 +159,63 @@ def test_near_duplicates(spark, rows, size):
 def test_near_duplicates_of_odd_input(odd, empty):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()]
     assert len(got) == len(ODD)
-    assert got.count((4, 3, 4, True)) == 2 and (None, 3, None, True) in got and (1, 0, 1, True) in got and (6, 1, 6, True) in got
+    assert got.count((4, 3, 4, True)) == 2 and (None, 3, 4, False) in got and (1, 0, 1, True) in got and (6, 1, 6, True) in got
     assert minhash.near_duplicates(empty).collect() == []
     kept = minhash.one_of_each(odd)
-    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "None"]
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6"]
+
+
+def test_rows_of_one_id_are_linked_by_their_texts(spark, odd_rows):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b), (None, a), (None, "alone in this text"), (3, "")], "doc_id long, text string")
+    got = sorted(((str(r.doc_id), str(r.component_id), r.kept, r.n_copies) for r in minhash.near_duplicates(docs).collect()))
+    assert got == [("1", "1", True, 2), ("1", "1", True, 2), ("2", "1", False, 2), ("3", "3", True, 1), ("None", "1", False, 2), ("None", "None", True, 1)]
+    assert sorted(r.text for r in minhash.one_of_each(docs).collect()) == sorted([a, b, "alone in this text", ""])
+    kept = minhash.one_of_each(odd_rows)
+    assert kept.columns == odd_rows.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 6]
+
+
+@pytest.mark.parametrize("share", [0.06, 0.1, 0.105, 0.11, 0.12])
+def test_families_about_the_threshold(spark, share, monkeypatch):
+    """Copies with a share of their words replaced: just over and under a similarity of 0.8, in blocks of few members."""
+    draw = random.Random(share)
+    docs = []
+    for family in range(2):
+        base = [f"w{family}x{draw.randrange(10_000)}" for _ in range(200)]
+        for copy in range(40):
+            words = list(base)
+            for at in draw.sample(range(200), int(share * 100)):
+                words[at] = f"new{draw.randrange(40)}"
+            docs.append((family * 1000 + copy, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, size=2).collect()}
+    assert got == plain_components(docs, 2)
+
+
+def test_open_lists_in_small_blocks(spark, monkeypatch):
+    """Classes left apart by the hubs are linked in the lists; every link joins two components."""
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(10_000)}" for _ in range(120)]
+    docs = []
+    for copy in range(60):
+        words = list(base)
+        for at in draw.sample(range(120), draw.choice([2, 3, 4])):
+            words[at] = f"new{draw.randrange(40)}"
+        docs.append((copy, " ".join(words)))
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "SHINGLES", 500)
+    monkeypatch.setattr(minhash, "_alike", lambda batches: (b[["u", "v"]].iloc[:0] for b in batches))  # no links to hubs
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, size=2).collect()}
+    assert got == plain_components(docs, 2) and len({c for _, c in got.values()}) < 60
+
+
+def test_shared_bits_count_intersections():
+    draw = np.random.default_rng(1)
+    sets = [np.unique(draw.integers(0, 300, 100)) for _ in range(20)] + [np.arange(1000, 1010)]
+    bits = minhash._shared_bits(sets)
+    assert all(np.bitwise_count(bits[i] & bits[j]).sum() == len(np.intersect1d(a, b))
+               for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
 
 
 def test_components_of_a_path_and_a_star(spark):
@@ -226,11 +279,13 @@ def test_contamination(spark, rows):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r.item_ids)) for r in got), key=str) == plain_hits(docs, items)
 
 
-def test_contamination_of_odd_input(spark, odd, empty):
+def test_contamination_of_odd_input(spark, odd, odd_rows, empty):
     bench = spark.createDataFrame([(1, "two three four"), (1, "two three four"), (None, None)], "item_id long, text string")
     got = decontaminate.contamination(odd, bench).collect()
     assert len(got) == len(ODD) and sum(r.contaminated for r in got) == 3
     assert decontaminate.without_benchmark(odd, bench).count() == len(ODD) - 3
+    named = decontaminate.without_benchmark(odd_rows, bench)
+    assert named.columns == odd_rows.columns and named.count() == len(ODD) - 3
     assert decontaminate.contamination(empty, bench).collect() == []
     assert not any(r.contaminated for r in decontaminate.contamination(odd, bench.limit(0)).collect())
 
