@@ -125,6 +125,14 @@ SQL = {
     "split_random": split(LABELS2, "user_id, movie_id", None),
     "split_stratified": split(LABELS2, "user_id, movie_id", "label"),
     "split_group": f"""SELECT l.user_id, l.movie_id, f.fold FROM {LABELS2} l JOIN ({split(f'(SELECT DISTINCT user_id FROM {LABELS2} l)', 'user_id', None)}) f ON f.user_id = l.user_id""",
+    "rank_gbt_folds": f"""SELECT fold, 'label' AS task, count(*) AS n_rows, count(*) FILTER (WHERE label = 1) AS positives,
+  count(*) FILTER (WHERE label = 0) AS negatives FROM ({split(LABELS2, "user_id, movie_id", "label")}) s GROUP BY fold""",
+    "rank_multitask_folds": f"""WITH l AS MATERIALIZED (SELECT * FROM {LABELS4} p), n AS MATERIALIZED ({NEGATIVES}),
+  every AS MATERIALIZED (SELECT user_id, click, collect, "comment", rating FROM l UNION ALL SELECT user_id, 0, 0, 0, 0 FROM n),
+  f AS ({split("(SELECT DISTINCT user_id FROM every)", "user_id", None)})
+  SELECT fold, task, count(*) AS n_rows, count(*) FILTER (WHERE y > 0.5) AS positives, count(*) FILTER (WHERE y <= 0.5) AS negatives
+  FROM (SELECT fold, unnest(['click', 'collect', 'comment', 'rating']) AS task, unnest([click, collect, "comment", rating]) AS y
+    FROM every JOIN f USING (user_id)) e GROUP BY fold, task""",
     "vocab_index": f"SELECT 'movie' AS kind, movie_id AS id, row_number() OVER (ORDER BY movie_id) AS idx FROM (SELECT movie_id FROM fx_movie UNION SELECT movie_id FROM {IX} x) m"
     f" UNION ALL SELECT 'user', user_id, row_number() OVER (ORDER BY user_id) FROM (SELECT DISTINCT user_id FROM {IX} x) u"
     " UNION ALL SELECT 'tag', tag_id, 1 + row_number() OVER (ORDER BY tag_id) FROM (SELECT DISTINCT tag_id FROM fx_movie_tag) t",

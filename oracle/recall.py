@@ -76,7 +76,7 @@ def build(DEPTH: int, PER_KEY: int, PREFS: int, RECENT: int, LIST_N: int, VECTOR
     SHUFFLED = """SELECT user_id, CAST(rn AS INTEGER) AS pos, item_id FROM (SELECT user_id, item_id,
       row_number() OVER (PARTITION BY user_id ORDER BY md5(concat_ws('|', 0, user_id, item_id)), item_id) AS rn FROM {rows} s) r WHERE rn <= {n}"""
 
-    FINAL = SHUFFLED.format(rows="mixed", n=30)
+    FINAL = SHUFFLED.format(rows="mixed", n=500)
 
     return {
         "user_genre_preferences": f"SELECT * FROM {GENRE} g",
@@ -98,8 +98,4 @@ def build(DEPTH: int, PER_KEY: int, PREFS: int, RECENT: int, LIST_N: int, VECTOR
     }
 
 
-# Ranking and delivery run on shorter candidate lists than recall does.
-SHORT = build(50, 20, 20, 20, 20, 10)
-FULL = build(1000, 200, 20, 300, 500, 300)
-_RECALL = [k for k in FULL if k.startswith(("user_", "recall_"))]
-SQL = SHORT | {k: FULL[k] for k in _RECALL}
+SQL = build(1000, 200, 20, 300, 500, 300)

@@ -246,10 +246,13 @@ def split(
 ) -> DataFrame:
     """Add ``fold``: 'random' over rows, 'stratified' per class of ``by``, 'group' over ids of ``by``.
 
-    ``key`` must be unique per row. Rows are ordered by a hash of the key and cut exactly.
+    ``key`` must be unique per row. Rows are ordered by a hash of the key and cut exactly. A group split needs two ids.
     """
     if mode == "group":
-        ids = split(df.select(by).distinct(), [by], None, "random", ratio, seed)
+        found = df.select(by).distinct()
+        if len(found.limit(2).collect()) < 2:
+            raise ValueError(f"a split by {by} needs two or more")
+        ids = split(found, [by], None, "random", ratio, seed)
         return df.join(ids, by)
     groups = [by] if mode == "stratified" else []
     coded = df.withColumn("_code", code(*[F.col(k) for k in key], F.lit(seed)))

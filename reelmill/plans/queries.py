@@ -12,6 +12,7 @@ from reelmill.operators import (
     delivery, documents, evaluation, evidence, features, interactions, quality, ranking, recall, reports, samples, search, stats,
     vectors,
 )
+from reelmill.plans import training
 from reelmill.plans.precompute import precompute
 from reelmill.plans.recommend import Recommender
 from reelmill.session import cut_lineage, fresh_path
@@ -289,12 +290,7 @@ def _(cat):
 # --- recall, ranking, delivery --------------------------------------------------------
 
 
-def _tag_recall(cat: Catalog, short: bool = False) -> recall.TagRecall:
-    if short:
-        return recall.TagRecall(
-            index=stats.tag_index(cat, depth=50), prefs=recall.top_prefs(cat, recent=20), excluded=recall.excluded_items(cat, 20),
-            per_key=20, n=20,
-        )
+def _tag_recall(cat: Catalog) -> recall.TagRecall:
     return recall.TagRecall(
         index=stats.tag_index(cat),
         prefs=recall.top_prefs(cat),
@@ -306,19 +302,17 @@ def _item_vectors(cat: Catalog) -> DataFrame:
     return cat.movie_embeddings.filter(F.size("vec") > 0).select("movie_id", "vec")
 
 
-def _vector_recall(cat: Catalog, short: bool = False) -> recall.VectorRecall:
-    sizes = {"k": 10, "n": 10} if short else {}
-    excluded = recall.excluded_items(cat, 20) if short else recall.excluded_items(cat)
-    return recall.VectorRecall(users=cat.user_vectors, items=_item_vectors(cat), excluded=excluded, **sizes)
+def _vector_recall(cat: Catalog) -> recall.VectorRecall:
+    return recall.VectorRecall(users=cat.user_vectors, items=_item_vectors(cat), excluded=recall.excluded_items(cat))
 
 
 def _requests(cat: Catalog) -> DataFrame:
     return cat.user.select("user_id")
 
 
-def _merged(cat: Catalog, short: bool = True) -> DataFrame:
-    """Candidates of all users; ranking and delivery keys take the short lists."""
-    return recall.merge_candidates([r.recall(_requests(cat)) for r in (_tag_recall(cat, short), _vector_recall(cat, short))])
+def _merged(cat: Catalog) -> DataFrame:
+    """Candidates of all users, written once: ranking reads them several times."""
+    return cut_lineage(recall.merge_candidates([r.recall(_requests(cat)) for r in (_tag_recall(cat), _vector_recall(cat))]))
 
 
 def _cf_ranker(cat: Catalog) -> ranking.ItemCFRanker:
@@ -357,7 +351,7 @@ def _(cat):
 
 @query("recall_merged")
 def _(cat):
-    return _merged(cat, short=False).withColumns(r6("score"))
+    return _merged(cat).withColumns(r6("score"))
 
 
 @query("minmax_scale")
@@ -372,8 +366,7 @@ def _(cat):
 
 @query("rank_item_cf")
 def _(cat):
-    candidates = cut_lineage(_merged(cat))
-    return ranking.with_rank(_cf_ranker(cat).rank(candidates)).withColumns(r6("score"))
+    return ranking.with_rank(_cf_ranker(cat).rank(_merged(cat))).withColumns(r6("score"))
 
 
 @query("rerank_shuffle")
@@ -382,7 +375,7 @@ def _(cat):
 
 
 def _recommended(cat: Catalog) -> DataFrame:
-    flow = Recommender([_tag_recall(cat, True), _vector_recall(cat, True)], _cf_ranker(cat), n=30)
+    flow = Recommender([_tag_recall(cat), _vector_recall(cat)], _cf_ranker(cat))
     return flow.recommend(_requests(cat))
 
 
@@ -628,14 +621,27 @@ def _(cat):
 
 @query("rank_gbt")
 def _(cat):
-    labels = interactions.binary_labels(interactions.interactions(cat), None).select("user_id", "movie_id", "label")
-    flags = F.element_at(F.array(*[F.lit(s) for s in ("user_collection", "user_high_rating_similar", "user_interest_tag", "item_similar_by_tags")]),
-                         (F.pmod(F.xxhash64("user_id", "movie_id"), F.lit(4)) + 1).cast("int"))
-    rows = labels.withColumn("source", flags).withColumn("recall_score", F.lit(0.0))
-    train = cut_lineage(features.rank_matrix(cat, rows, "binary", leak_guard=True))
-    ranker = ranking.fit_gbt(train, features.BINARY_FEATURES, rounds=10)
-    wanted = _candidates(cat)
-    return ranker.rank(features.rank_matrix(cat, wanted, "binary"))
+    return training.train_binary(cat).ranker.rank(features.rank_matrix(cat, _candidates(cat), "binary"))
+
+
+@query("rank_gbt_folds")
+def _(cat):
+    return training.folds(training.binary_rows(cat), ["label"])
+
+
+@query("rank_gbt_report")
+def _(cat):
+    return training.train_binary(cat).report()
+
+
+@query("rank_multitask_folds")
+def _(cat):
+    return training.folds(training.multitask_rows(cat), training.TASKS)
+
+
+@query("rank_multitask_report")
+def _(cat):
+    return training.train_multitask(cat).report()
 
 
 def _candidates(cat: Catalog) -> DataFrame:
