@@ -2,15 +2,16 @@
 
 Strong findings are reported wherever they stand: assignments, access identifiers and hex strings. Weak ones (short access
 identifiers, account names, mixed strings of 20 or more characters, endpoints) are reported only if the parts that
-complete a credential overlap them: spans are widened to the lines of their scope, at most ``REACH`` characters to either side, and
-joined as intervals; an identifier needs a secret, a secret an identifier, an endpoint both.
+complete a credential lie in the same scope: findings and scopes are joined as intervals; an identifier needs a secret, a
+secret an identifier, an endpoint both. A scope is a paragraph; blank lines between configuration lines do not end one. A
+mixed string in the query or the user part of an endpoint is its secret part, reported with the endpoint.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 
 from reelmill.llm.common import pick
 
-REACH = 200
 MASK = "[secret]"
 KINDS = ["assign", "access", "hex", "weak_access", "account", "weak_secret", "endpoint"]  # strong ones first
 
@@ -35,6 +35,8 @@ _WEAK_ACCESS = re.compile(r"\b(?:AKIA[A-Z0-9]{4,11}|ASIA[A-Z0-9]{12,})\b")
 _ACCOUNT = re.compile(r"""\b(?:user(?:name)?|login|account|client_id)["']?\x20*[:=]\x20*["']?([\w.@-]{3,})""")
 _MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
 _ENDPOINT = re.compile(r"""https?://[^\s"'<>]+""")
+_BLANK = re.compile(r"\n(?:[ \t\r]*\n)+")
+_CONFIG = re.compile(r"""\s*(?:["']?[\w.-]+["']?\x20*[:=]|\[[\w. -]+\]\s*$|[#;])""")  # key and value, heading, comment
 
 Span = tuple[int, str, int]  # start, kind, end
 
@@ -69,28 +71,48 @@ class Overlaps:
         return before > 0 and self.tops[before - 1] > start
 
 
-def scope(text: str, start: int, end: int) -> tuple[int, int]:
-    """The span widened by ``REACH``, within its paragraph (blank lines end one)."""
-    low, high = max(0, start - REACH), min(len(text), end + REACH)
-    before, after = text.rfind("\n\n", low, start), text.find("\n\n", end, high)
-    return (before + 2 if before >= 0 else low), (after if after >= 0 else high)
+def scopes(text: str) -> list[int]:
+    """Where the scopes of a text start."""
+    starts = [0]
+    for gap in _BLANK.finditer(text):
+        before = text[text.rfind("\n", 0, gap.start()) + 1 : gap.start()]
+        if not (_CONFIG.match(before) and _CONFIG.match(text, gap.end(), _line_end(text, gap.end()))):
+            starts.append(gap.end())
+    return starts
+
+
+def _line_end(text: str, at: int) -> int:
+    end = text.find("\n", at)
+    return end if end >= 0 else len(text)
+
+
+def secret_places(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The user part and the query of an endpoint."""
+    address = text[start:end]
+    authority = address.find("//") + 2
+    query = re.search("[?#]", address)
+    host_end = re.compile("[/?#]|$").search(address, authority).start()
+    at = address.rfind("@", authority, host_end)
+    return ([(start + authority, start + at)] if at > 0 else []) + ([(start + query.end(), end)] if query else [])
 
 
 def linked(text: str, sure: list[Span], maybe: list[Span]) -> list[Span]:
     """Weak findings that lie outside strong ones and have their complement in scope."""
     covered = Overlaps([(s, e) for s, _, e in sure])
     maybe = [(s, k, e) for s, k, e in maybe if not covered(s, e)]
-    links = Overlaps([(s, e) for s, k, e in maybe if k == "endpoint"])  # strings inside an address are part of it
-    maybe = [(s, k, e) for s, k, e in maybe if k != "weak_secret" or not links(s, e)]
-    parts = lambda *kinds: Overlaps([(s, e) for s, k, e in sure + maybe if k in kinds])
-    identifiers, secrets = parts("access", "weak_access", "account"), parts("assign", "hex", "weak_secret")
-    out = []
-    for s, kind, e in maybe:
-        near = scope(text, s, e)
-        if (kind in ("weak_secret", "endpoint") and not identifiers(*near)) or (kind != "weak_secret" and not secrets(*near)):
-            continue
-        out.append((s, kind, e))
-    return out
+    links = [(s, e) for s, k, e in maybe if k == "endpoint"]
+    address = Overlaps(links)
+    carried = Overlaps([p for link in links for p in secret_places(text, *link)])
+    inside = [(s, k, e) for s, k, e in maybe if k == "weak_secret" and address(s, e)]
+    maybe = [(s, k, e) for s, k, e in maybe if k != "weak_secret" or not address(s, e)]
+    starts = scopes(text)
+    place = lambda s: bisect_right(starts, s)
+    parts = lambda found, *kinds: {place(s) for s, k, _ in found if k in kinds}
+    identifiers = parts(sure + maybe, "access", "weak_access", "account")
+    secrets = parts(sure + maybe, "assign", "hex", "weak_secret") | {place(s) for s, _, e in inside if carried(s, e)}
+    needs_identifier, needs_secret = ("weak_secret", "endpoint"), ("weak_access", "account", "endpoint")
+    return [(s, k, e) for s, k, e in maybe
+            if (k not in needs_identifier or place(s) in identifiers) and (k not in needs_secret or place(s) in secrets)]
 
 
 def spans_of(text: str | None) -> list[Span]:
