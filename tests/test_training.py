@@ -31,7 +31,7 @@ def test_reports_name_every_task(spark, cat):
 def test_trees_stop_early_and_learn(spark):
     rows = spark.range(4000).select(
         F.col("id").alias("user_id"), F.col("id").alias("movie_id"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 100).alias("x"))
-    rows = rows.withColumn("label", ((F.col("x") > 0.5) != (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10)) == 0)).cast("int")).withColumn("valid", F.pmod("user_id", F.lit(10)) == 0)
+    rows = rows.withColumn("label", ((F.col("x") > 0.5) != (F.pmod(F.xxhash64("user_id", F.lit(1)), F.lit(10)) == 0)).cast("int")).withColumn("valid", F.pmod("user_id", F.lit(10)) == 0)
     ranker = ranking.fit_gbt(rows, ["x"], rounds=50, eta=1.0, valid="valid")
     assert ranker.model.stages[-1].getNumTrees < 50
     scored = ranker.score(rows).join(rows.select(F.col("movie_id").alias("item_id"), "label"), "item_id")
