@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import free_name, let, pick, words
+from reelmill.llm.common import free_name, let, pick, short_batches, words
 from reelmill.llm.components import components
 from reelmill.operators.ordering import spread
 from reelmill.session import broadcast_if_small, cut_lineage
@@ -298,6 +298,7 @@ def _open_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    short_batches(df.sparkSession)
     docs = pick(df, id_col, text_col)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import pick, shuffle_width
+from reelmill.llm.common import pick, short_batches, shuffle_width
 from reelmill.llm.tokens import encoder
 
 END = 0
@@ -44,6 +44,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, style: str, id_col: s
 
     ``part`` numbers the ranges, ``row`` the documents of one. Every document ends with id 0; null texts are empty.
     """
+    short_batches(df.sparkSession)
     docs = pick(df, id_col, text_col)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     sorted_ = docs.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)

@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE = 300_000  # pieces in each of two generations of a worker's cache, about 60 MB each
+CACHE = 500_000  # pieces in each of two generations of a worker's cache, about 100 MB each
 KEPT = 64  # longer pieces are not kept
 
 # How the two tokenizer files split a text before merging. Only for characters whose class no Unicode version changed.

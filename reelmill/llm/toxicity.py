@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import pick
+from reelmill.llm.common import pick, short_batches
 from reelmill.session import broadcast_if_small, cut_lineage
 
 EXAMPLES = 20_000
@@ -235,6 +235,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     Labels count for ids whose crc32 is not divisible by 5; an id labelled twice is toxic if one label says so, null labels
     and ids are left out. Without labels of both kinds there is no vocabulary and all rows get the smoothed rate.
     """
+    short_batches(df.sparkSession)
     docs = pick(df, id_col, text_col)
     told = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna()
     told = told.filter(in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
