@@ -250,7 +250,7 @@ def split(
     """
     if mode == "group":
         found = df.select(by).distinct()
-        if len(found.limit(2).collect()) < 2:
+        if found.limit(2).count() < 2:
             raise ValueError(f"a split by {by} needs two or more")
         ids = split(found, [by], None, "random", ratio, seed)
         return df.join(ids, by)
