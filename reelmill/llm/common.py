@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 BATCH_ROWS = 2000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CACHES: list[Callable[[], None]] = []  # what empties the caches that a worker keeps between tasks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +54,11 @@ def short_batches(spark: SparkSession) -> None:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def give_back() -> None:
+    """Empties a worker's caches: Spark hands its workers on to later stages, which need the memory for their own work."""
+    for clear in CACHES:
+        clear()
+    if CACHES:
+        gc.collect()  # an encoder and its cache refer to each other

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import free_name, let, pick, short_batches, words
+from reelmill.llm.common import free_name, give_back, let, pick, short_batches, words
 from reelmill.llm.components import components
 from reelmill.operators.ordering import spread
 from reelmill.session import broadcast_if_small, cut_lineage
@@ -62,6 +62,7 @@ def set_id(found: Column) -> Column:
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Coordinate values (bytes of 64 uint32) and one byte of each (sketch) of the sets; an empty set has none."""
+    give_back()
     for batch in batches:
         sets = batch["shingles"].to_list()
         out = np.zeros((len(sets), COORDINATES), np.uint32)

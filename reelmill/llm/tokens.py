@@ -10,6 +10,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
+from reelmill.llm.common import CACHES
+
 CACHE = 500_000  # pieces in each of two generations of a worker's cache, about 100 MB each
 KEPT = 64  # longer pieces are not kept
 
@@ -85,3 +87,6 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(path: str, style: str) -> Encoder:
     return Encoder(path, style)
+
+
+CACHES.append(encoder.cache_clear)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import pick, short_batches
+from reelmill.llm.common import give_back, pick, short_batches
 from reelmill.session import broadcast_if_small, cut_lineage
 
 EXAMPLES = 20_000
@@ -66,6 +66,7 @@ _FACTORS = np.random.default_rng(6).integers(1, 1 << 63, (BANDS * ROWS, 2), dtyp
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    give_back()
     for batch in batches:
         out = []
         for text, toxic in zip(batch["text"], batch["toxic"]):
