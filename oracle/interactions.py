@@ -46,7 +46,7 @@ RECENT = " UNION ALL ".join(
 KCORE_USER, KCORE_ITEM, KCORE_ROUNDS = 38, 36, 14
 
 
-def kcore() -> str:
+def kcore_steps() -> str:
     steps = [f"k0 AS MATERIALIZED (SELECT * FROM {IX} x)"]
     for i in range(1, KCORE_ROUNDS + 1):
         p = f"k{i - 1}"
@@ -54,10 +54,35 @@ def kcore() -> str:
             f"k{i} AS MATERIALIZED (SELECT * FROM {p} WHERE user_id IN (SELECT user_id FROM {p} GROUP BY user_id HAVING count(*) >= {KCORE_USER})"
             f" AND movie_id IN (SELECT movie_id FROM {p} GROUP BY movie_id HAVING count(*) >= {KCORE_ITEM}))"
         )
-    return (
-        "WITH " + ",\n".join(steps)
-        + f" SELECT user_id, movie_id, action_type, rating, {stamp('ts')} AS ts FROM k{KCORE_ROUNDS}"
-    )
+    return "WITH " + ",\n".join(steps)
+
+
+def kcore() -> str:
+    return f"{kcore_steps()} SELECT user_id, movie_id, action_type, rating, {stamp('ts')} AS ts FROM k{KCORE_ROUNDS}"
+
+
+LEARNED = f"""{kcore_steps()},
+every AS MATERIALIZED (SELECT user_id, movie_id, weight, last_ts FROM {PAIRS} p),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n,
+  row_number() OVER (PARTITION BY user_id ORDER BY last_ts DESC, weight DESC, movie_id DESC) AS rn
+  FROM every SEMI JOIN k{KCORE_ROUNDS} USING (user_id, movie_id)),
+pairs AS MATERIALIZED (SELECT user_id, movie_id, CASE WHEN n >= 2 AND rn = 1 THEN 'test' ELSE 'train' END AS fold FROM ranked)"""
+
+ORIGINS = f"""{LEARNED},
+cu AS MATERIALIZED (SELECT DISTINCT user_id FROM pairs WHERE fold = 'train'),
+cm AS MATERIALIZED (SELECT DISTINCT movie_id FROM pairs WHERE fold = 'train'),
+past AS MATERIALIZED (SELECT user_id, movie_id FROM every WHERE (user_id, movie_id) NOT IN (SELECT (user_id, movie_id) FROM pairs WHERE fold = 'test')),
+hu AS MATERIALIZED (SELECT DISTINCT user_id FROM past WHERE movie_id IN (FROM cm) AND user_id NOT IN (FROM cu)),
+hm AS MATERIALIZED (SELECT DISTINCT movie_id FROM past WHERE user_id IN (FROM cu) AND movie_id NOT IN (FROM cm)),
+tags AS MATERIALIZED (SELECT DISTINCT tag_id FROM fx_movie_tag WHERE movie_id IN (FROM cm))
+SELECT 'user' AS kind, user_id AS id, 'core' AS origin FROM cu
+UNION ALL SELECT 'user', user_id, 'history' FROM hu
+UNION ALL SELECT DISTINCT 'user', user_id, 'tags' FROM fx_user_collect_tag
+  WHERE tag_id IN (FROM tags) AND user_id NOT IN (FROM cu) AND user_id NOT IN (FROM hu)
+UNION ALL SELECT 'movie', movie_id, 'core' FROM cm
+UNION ALL SELECT 'movie', movie_id, 'history' FROM hm
+UNION ALL SELECT DISTINCT 'movie', movie_id, 'tags' FROM fx_movie_tag
+  WHERE tag_id IN (FROM tags) AND movie_id NOT IN (FROM cm) AND movie_id NOT IN (FROM hm)"""
 
 
 def hashed(text: str, digits: int = 15) -> str:
@@ -117,6 +142,8 @@ SQL = {
     "rank_labels_multitask": f"SELECT * FROM {LABELS4} l",
     "interaction_summary": f"SELECT action_type, count(*) AS n_rows, count(DISTINCT user_id) AS users, count(DISTINCT movie_id) AS movies FROM {IX} x GROUP BY action_type",
     "kcore_filter": kcore(),
+    "learned_folds": f"{LEARNED} SELECT fold, count(*) AS n_pairs, count(DISTINCT user_id) AS n_users, count(DISTINCT movie_id) AS n_movies FROM pairs GROUP BY fold",
+    "learned_origins": ORIGINS,
     "negatives_global": NEGATIVES,
     "negatives_pairwise": PAIRWISE,
     "weighted_resample": RESAMPLE,

@@ -12,7 +12,7 @@ from reelmill.operators import (
     delivery, documents, evaluation, evidence, features, interactions, quality, ranking, recall, reports, samples, search, stats,
     vectors,
 )
-from reelmill.plans import training
+from reelmill.plans import learned, training
 from reelmill.plans.precompute import precompute
 from reelmill.plans.recommend import Recommender
 from reelmill.session import cut_lineage, fresh_path
@@ -619,6 +619,31 @@ def _(cat):
     return items.withColumn("kind", F.lit("learned")).unionByName(cold.withColumn("kind", F.lit("cold")))
 
 
+# the test tables are small and dense: the sizes of ``kcore_filter`` leave users and movies outside the core
+CORE = {"min_user": 38, "min_item": 36}
+
+
+@query("learned_folds")
+def _(cat):
+    return learned.core_pairs(cat, **CORE).groupBy("fold").agg(
+        F.count("*").alias("n_pairs"), F.count_distinct("user_id").alias("n_users"), F.count_distinct("movie_id").alias("n_movies"))
+
+
+@query("learned_origins")
+def _(cat):
+    return learned.origins(learned.train_vectors(cat, **CORE))
+
+
+@query("learned_recall")
+def _(cat):
+    return learned.train_vectors(cat, **CORE).recaller(cat).recall(_requests(cat))
+
+
+@query("learned_hit_rate")
+def _(cat):
+    return learned.train_vectors(cat, **CORE).hit_rate()
+
+
 @query("rank_gbt")
 def _(cat):
     return training.train_binary(cat).ranker.rank(features.rank_matrix(cat, _candidates(cat), "binary"))
