@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,5 +59,3 @@ def give_back() -> None:
     """Empties a worker's caches: Spark hands its workers on to later stages, which need the memory for their own work."""
     for clear in CACHES:
         clear()
-    if CACHES:
-        gc.collect()  # an encoder and its cache refer to each other

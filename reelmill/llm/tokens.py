@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.models import Model
 
 from reelmill.llm.common import CACHES
 
@@ -64,7 +65,7 @@ class Encoder:
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split, self.lower = _SPLITS[style], style == "word"
-        self.known = _Known(self._encoded)
+        self.known = _Known(partial(_encoded, self.model))  # no reference to the encoder, so that both are freed at once
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         return [self._ids(t or "") for t in texts]
@@ -76,12 +77,13 @@ class Encoder:
         pieces = self.split.findall(text.lower() if self.lower else text)
         return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint32)
 
-    def _encoded(self, piece: str) -> bytes:
-        if piece.isascii() and not piece.isspace():  # of the characters that are moved only a space can occur
-            seen = piece.replace(" ", _SPACE)
-        else:
-            seen = piece.encode().decode("latin-1").translate(_MOVED)
-        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
+def _encoded(model: Model, piece: str) -> bytes:
+    if piece.isascii() and not piece.isspace():  # of the characters that are moved only a space can occur
+        seen = piece.replace(" ", _SPACE)
+    else:
+        seen = piece.encode().decode("latin-1").translate(_MOVED)
+    return array("I", [t.id for t in model.tokenize(seen)]).tobytes()
 
 
 @lru_cache(maxsize=2)
