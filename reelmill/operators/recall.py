@@ -74,7 +74,11 @@ def excluded_items(cat: Catalog, n: int = 300) -> DataFrame:
 
 @dataclass(frozen=True)
 class TagRecall:
-    """Sum of index scores over the user's preferred keys."""
+    """Sum of index scores over the user's preferred keys.
+
+    A user has at most ``per_key`` rows per preferred key and a bounded list of exclusions, so all steps of a user share one
+    partitioning by user: scores are summed, exclusions taken away and ranks given without another shuffle of the rows.
+    """
 
     index: DataFrame
     prefs: DataFrame
@@ -92,13 +96,16 @@ class TagRecall:
             .groupBy("tag_type", "tag_id")
             .agg(F.collect_list(F.struct("movie_id", F.col("score").alias("part"))).alias("items"))
         )
+        seen = self.excluded.groupBy("user_id").agg(F.collect_set("movie_id").alias("seen"))
         hits = (
             self.prefs.join(requests.select("user_id"), "user_id", "left_semi")
             .join(lists, ["tag_type", "tag_id"])
             .select("user_id", F.inline("items"))
+            .repartition("user_id")
             .groupBy("user_id", "movie_id")
             .agg(F.sum("part").alias("score"))
-            .join(self.excluded, ["user_id", "movie_id"], "left_anti")
+            .join(seen, "user_id", "left")
+            .filter(F.col("seen").isNull() | ~F.array_contains("seen", F.col("movie_id")))
         )
         limit = max(self.n, self.n * max(self.multiplier, 1))
         order = [F.round("score", 9).desc(), F.col("movie_id").asc()]

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from reelmill.operators.recall import TagRecall
 from reelmill.plans.queries import QUERIES
 from tests.conftest import SF
 
@@ -43,3 +44,14 @@ def test_library_has_no_forbidden_calls():
         text = path.read_text()
         for word in (".collect()", ".toPandas(", "localCheckpoint", "crossJoin", ".rdd", "F.rand("):
             assert word not in text, f"{word} in {path}"
+
+
+def test_tag_recall_keeps_one_partitioning_per_user(spark):
+    index = spark.createDataFrame([("genre", 1, 10, 0.5, 1), ("genre", 1, 11, 0.4, 2), ("genre", 2, 11, 0.3, 1)],
+                                  "tag_type string, tag_id long, movie_id long, score double, rank int")
+    prefs = spark.createDataFrame([(7, "genre", 1), (7, "genre", 2), (8, "genre", 1)], "user_id long, tag_type string, tag_id long")
+    excluded = spark.createDataFrame([(8, 10), (8, 99), (9, 11)], "user_id long, movie_id long")
+    out = TagRecall(index, prefs, excluded).recall(spark.createDataFrame([(7,), (8,), (9,)], "user_id long"))
+    assert not re.search(r"hashpartitioning\(user_id#\d+L, movie_id", plan_of(out))
+    got = {(r.user_id, r.item_id): round(r.score, 9) for r in out.toLocalIterator()}
+    assert got == {(7, 10): 0.5, (7, 11): 0.7, (8, 11): 0.4}
