@@ -55,3 +55,7 @@ def test_tag_recall_keeps_one_partitioning_per_user(spark):
     assert not re.search(r"hashpartitioning\(user_id#\d+L, movie_id", plan_of(out))
     got = {(r.user_id, r.item_id): round(r.score, 9) for r in out.toLocalIterator()}
     assert got == {(7, 10): 0.5, (7, 11): 0.7, (8, 11): 0.4}
+
+
+def test_resampled_draws_are_never_broadcast(spark):
+    assert "BroadcastHashJoin [cell" not in plan_of(QUERIES["weighted_resample"](spark, SF))
