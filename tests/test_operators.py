@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from reelmill.functions.arrays import pad_or_truncate
 from reelmill.functions.text import grams, one_decimal, words
 from reelmill.functions.times import age_bucket, age_label, calendar_age, parse_moment
+from reelmill.operators import knn as knn_module
 from reelmill.operators import delivery, documents, evaluation, evidence, interactions, ranking, samples, search
 from reelmill.operators.knn import knn
 from reelmill.operators.ordering import newest, with_position
@@ -396,3 +397,15 @@ def test_elapsed_of_an_unstarted_task_is_unknown(spark):
     row = (1, "train_job", "pending", None, None, None, None, None)
     df = spark.createDataFrame([row], "id long, task_type string, status string, payload string, progress string, result string, started_at timestamp, finished_at timestamp")
     assert task_progress(df).first()["elapsed_ms"] is None
+
+
+def test_vector_blocks_bound_the_memory_of_a_task(spark, monkeypatch):
+    steps = knn_module.query_steps(knn_module.BLOCK_ROWS, knn_module.BLOCK_ROWS)
+    assert max(s.stop - s.start for s in steps) * knn_module.BLOCK_ROWS <= knn_module.CELLS and steps[-1].stop >= knn_module.BLOCK_ROWS
+    rows = [(i, [float(i * 7 % 11), float(i * 5 % 13), 1.0]) for i in range(60)]
+    queries = spark.createDataFrame(rows, "query_id bigint, vec array<double>")
+    corpus = queries.withColumnRenamed("query_id", "item_id")
+    want = sorted(tuple(r) for r in knn_module.knn(queries, corpus, 4).select("query_id", "item_id", "rank").collect())
+    monkeypatch.setattr(knn_module, "CELLS", 30)
+    monkeypatch.setattr(knn_module, "BEST_ROWS", 40)
+    assert sorted(tuple(r) for r in knn_module.knn(queries, corpus, 4).select("query_id", "item_id", "rank").collect()) == want
