@@ -59,3 +59,23 @@ def test_tag_recall_keeps_one_partitioning_per_user(spark):
 
 def test_resampled_draws_are_never_broadcast(spark):
     assert "BroadcastHashJoin [cell" not in plan_of(QUERIES["weighted_resample"](spark, SF))
+
+
+def test_tag_recall_never_shuffles_a_row_per_user_and_movie(spark):
+    index = spark.range(400).selectExpr("'genre' AS tag_type", "id % 4 AS tag_id", "id AS movie_id", "1.0 + id % 7 AS score", "CAST(id / 4 + 1 AS INT) AS rank")
+    index = index.withColumn("score", index["score"].cast("double"))
+    prefs = spark.range(60).selectExpr("id % 20 AS user_id", "'genre' AS tag_type", "id % 4 AS tag_id").distinct()
+    excluded = spark.range(90).selectExpr("id % 20 AS user_id", "id AS movie_id")
+    requests = spark.range(20).withColumnRenamed("id", "user_id")
+    out = TagRecall(index, prefs, excluded, per_key=50, n=6, multiplier=2).recall(requests)
+    assert not re.search(r"Generate (inline|explode)", plan_of(out))
+    want = {}
+    seen = {(r.user_id, r.movie_id) for r in excluded.toLocalIterator()}
+    for p in prefs.toLocalIterator():
+        for i in range(p.tag_id, 200, 4):
+            if (p.user_id, i) not in seen:
+                want.setdefault(p.user_id, []).append((-(1.0 + i % 7), i))
+    got = {}
+    for r in out.toLocalIterator():
+        got.setdefault(r.user_id, []).append((-r.score, r.item_id))
+    assert {u: sorted(rows) for u, rows in got.items()} == {u: sorted(rows)[:12] for u, rows in want.items()}
