@@ -79,3 +79,10 @@ def test_tag_recall_never_shuffles_a_row_per_user_and_movie(spark):
     for r in out.toLocalIterator():
         got.setdefault(r.user_id, []).append((-r.score, r.item_id))
     assert {u: sorted(rows) for u, rows in got.items()} == {u: sorted(rows)[:12] for u, rows in want.items()}
+
+
+@pytest.mark.parametrize("key", ["recall_merged", "minmax_scale", "rank_fallback", "rerank_shuffle"])
+def test_candidates_of_a_user_meet_once(spark, key):
+    plan = plan_of(QUERIES[key](spark, SF))
+    assert not re.search(r"hashpartitioning\(user_id#\d+L, item_id", plan)
+    assert re.search(r"hashpartitioning\(user_id#\d+L, \d+\), REPARTITION_BY_COL", plan)
