@@ -1,7 +1,8 @@
 """License scans: full texts and notices of common licenses.
 
-Candidates of a full text (``license_texts/``) are stretches that hold enough of its runs of ``RUN`` words; the text with the fewest changed
-words is taken. Candidates of a notice are the places of its naming words, which must be there exactly and without a word between
+Candidates of a full text (``license_texts/``) are blocks that hold enough of its runs of ``RUN`` words. A block is compressed with each full
+text as a raw zstandard dictionary; the texts that save about the most bytes are confirmed by matching words, the others only if none of
+those is there, and the one with the fewest changed words is taken. Candidates of a notice are the places of its naming words, which must be there exactly and without a word between
 them. Both allow ``DIFFERENT`` of the words to be changed. A notice's block is compressed with each notice as a raw zstandard
 dictionary; notices are tried by the bytes saved.
 """
@@ -52,6 +53,7 @@ FULL = ("Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Cla
 RUN = 4
 ENOUGH = 0.2  # share of a full text's runs in a candidate; even evenly spread changes of a fifth of the words leave about this many
 DIFFERENT = 0.2
+CLOSE = 0.9  # share of the most bytes saved from which a text's words decide
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 
 
@@ -93,6 +95,17 @@ def _compressors() -> list[zstandard.ZstdCompressor]:
     return [zstandard.ZstdCompressor(level=9, dict_data=d) for d in raw]
 
 
+@lru_cache(maxsize=1)
+def _full_compressors() -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompressor]]:
+    """Without a dictionary, and with each full text as one."""
+    out = {}
+    for n, w in _full()[0].items():
+        raw = zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(level=9)
+        out[n] = zstandard.ZstdCompressor(level=9, dict_data=raw)
+    return zstandard.ZstdCompressor(level=9), out
+
+
 def differing(words: list[str], wanted: list[str], named: list[bool] | None = None) -> float:
     """Words to replace, insert or delete to turn one list into the other; naming words stay, and nothing comes between two of them."""
     named, never = named or [False] * len(wanted), float("inf")
@@ -109,6 +122,26 @@ def differing(words: list[str], wanted: list[str], named: list[bool] | None = No
     return row[-1]
 
 
+def _saved(words: list[str]) -> dict[str, int]:
+    """Bytes that every full text as a raw dictionary saves in a block, against no dictionary."""
+    data = " ".join(words).encode()
+    plain, known = _full_compressors()
+    alone = len(plain.compress(data))
+    return {n: alone - len(c.compress(data)) for n, c in known.items()}
+
+
+def _confirmed(words: list[str], block: tuple[str, int, int]) -> tuple[float, int, str, int, int, int] | None:
+    """The place of a full text in a block, unless too many words differ."""
+    name, start, stop = block
+    wanted = _full()[0][name]
+    same = [m for m in SequenceMatcher(None, words[start:stop], wanted, autojunk=False).get_matching_blocks() if m.size > 1]
+    if not same:
+        return None
+    first, last = start + same[0].a, start + same[-1].a + same[-1].size
+    changed = max(len(wanted), last - first) - sum(m.size for m in same)
+    return (changed / len(wanted), -len(wanted), name, first, last, changed) if changed <= DIFFERENT * len(wanted) else None
+
+
 def _full_in(words: list[str]) -> list[tuple[str, int, int, int]]:
     """(license, first word, word after the last, words that differ) of full texts."""
     texts, runs, single = _full()
@@ -118,20 +151,31 @@ def _full_in(words: list[str]) -> list[tuple[str, int, int, int]]:
             half = 2 * (i - j) // len(texts[name])
             regions[name, half].append((i, j))
             regions[name, half - 1].append((i, j))
-    found = []
+    blocks = []  # (license, first word, word after the last) that may hold the text
     for (name, _), part in regions.items():
-        wanted = texts[name]
         if len({j for _, j in part}) >= ENOUGH * single[name]:
-            middle, size = sorted(i - j for i, j in part)[len(part) // 2], len(wanted)
-            start, stop = max(0, middle - size // 4), min(len(words), middle + size + size // 4)
-            same = [m for m in SequenceMatcher(None, words[start:stop], wanted, autojunk=False).get_matching_blocks() if m.size > 1]
-            if same:
-                first, last = start + same[0].a, start + same[-1].a + same[-1].size
-                changed = max(len(wanted), last - first) - sum(m.size for m in same)
-                if changed <= DIFFERENT * len(wanted):
-                    found.append((changed / len(wanted), -len(wanted), name, first, last, changed))
+            middle, size = sorted(i - j for i, j in part)[len(part) // 2], len(texts[name])
+            block = (name, max(0, middle - size // 4), min(len(words), middle + size + size // 4))
+            if block not in blocks:
+                blocks.append(block)
+    tried, found = {}, []
+    for _, start, stop in blocks:
+        here = [b for b in blocks if b[1] < stop and start < b[2]]
+        saved = _saved(words[start:stop])
+        ranked = sorted({b[0] for b in here}, key=lambda n: (-saved[n], n))
+        while ranked:  # texts that save about as much as the best are told apart by their words; others follow if none of these is there
+            least = CLOSE * saved[ranked[0]]
+            close = [n for n in ranked if saved[n] >= least] or ranked[:1]
+            ranked = [n for n in ranked if n not in close]
+            for b in here:
+                if b[0] in close and b not in tried:
+                    tried[b] = _confirmed(words, b)
+            told = [tried[b] for b in here if b[0] in close and tried[b]]
+            found += told
+            if told:
+                break
     out: list[tuple[str, int, int, int]] = []
-    for _, _, name, first, last, changed in sorted(found):
+    for _, _, name, first, last, changed in sorted(set(found)):
         if all(last <= o[1] or first >= o[2] for o in out):
             out.append((name, first, last, changed))
     return out

@@ -468,6 +468,24 @@ def test_full_license_texts_and_headers():
     assert [n for n, *_ in licenses.found_in("// SPDX-License-Identifier: MIT")] == ["MIT"]
 
 
+def test_full_texts_are_ranked_by_the_bytes_they_save(monkeypatch):
+    words = licenses._full()[0]["LGPL-3"]
+    tried, confirm = [], licenses._confirmed
+    monkeypatch.setattr(licenses, "_confirmed", lambda w, block: (tried.append(block[0]), confirm(w, block))[1])
+    assert [(n, d) for n, _, _, d in licenses._full_in(words)] == [("LGPL-3", 0)]
+    saved = licenses._saved(words)
+    assert max(saved, key=saved.get) == "LGPL-3" and set(tried) == {"LGPL-3"}
+    # each text saves the most in its own block; look-alikes one after another stay two finds
+    for name, text in licenses._full()[0].items():
+        saved = licenses._saved(text)
+        assert saved[name] >= licenses.CLOSE * max(saved.values())
+    both = licenses._full()[0]["BSD-2-Clause"] + licenses._full()[0]["BSD-3-Clause"]
+    assert [(n, d) for n, _, _, d in sorted(licenses._full_in(both), key=lambda f: f[1])] == [("BSD-2-Clause", 0), ("BSD-3-Clause", 0)]
+    # where the text that saves the most is not there, the next one is tried
+    monkeypatch.setattr(licenses, "_saved", lambda block: {n: 100 if n == "GPL-3" else 1 for n in licenses.FULL})
+    assert [n for n, *_ in licenses._full_in(words)] == ["LGPL-3"]
+
+
 def test_look_alike_licenses():
     for text, names in (("Released under the BSD License.", ["BSD"]), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
                         ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2"]),
