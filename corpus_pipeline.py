@@ -13,6 +13,8 @@ from reelmill.llm.common import table
 from reelmill.llm.queries import WORD_TOKENIZER
 from reelmill.session import fresh_path
 
+PIECES_KEPT = 100_000  # of a generation of a worker's token cache: executors still hold memory of the stages before
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -31,7 +33,7 @@ def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(docs, WORD_TOKENIZER, "word"))
+    return packing.pack(packing.pieces(docs, WORD_TOKENIZER, "word", cache=PIECES_KEPT))
 
 
 STAGES = [

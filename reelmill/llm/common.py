@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +60,9 @@ def give_back() -> None:
     """Empties a worker's caches: Spark hands its workers on to later stages, which need the memory for their own work."""
     for clear in CACHES:
         clear()
+    release()
+
+
+def release() -> None:
+    """Hands memory that Arrow freed but holds, of an earlier stage in this worker, back to the system."""
+    pa.default_memory_pool().release_unused()

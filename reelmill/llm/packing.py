@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import pick
-from reelmill.llm.tokens import encoder
+from reelmill.llm.common import pick, release
+from reelmill.llm.tokens import CACHE, encoder
 from reelmill.session import cut_lineage
 
 CAPACITY = 2048
@@ -34,9 +34,10 @@ GENERATIONS = 12
 Packing = list[list[int]]  # per sequence the pieces in it
 
 
-def _cut(path: str, style: str, capacity: int):
+def _cut(path: str, style: str, capacity: int, cache: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path, style)
+        release()
+        ids_of = encoder(path, style, cache)
         for batch in batches:
             rows: list[tuple] = []
             for at, found in enumerate(ids_of(batch.column("text").to_pylist())):
@@ -51,11 +52,15 @@ def _cut(path: str, style: str, capacity: int):
     return of
 
 
-def pieces(df: DataFrame, tokenizer: str, style: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32``; a null text is empty and has its end id alone."""
+def pieces(df: DataFrame, tokenizer: str, style: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
+           cache: int = CACHE) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32``; a null text is empty and has its end id alone.
+
+    ``cache`` bounds the word pieces a worker remembers, not the result.
+    """
     docs = pick(df, id_col, text_col)
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(_cut(tokenizer, style, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(_cut(tokenizer, style, capacity, cache), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(bins: Packing, room: list[int], items: list[int], sizes: list[int], capacity: int) -> Packing:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import pick
+from reelmill.llm.common import pick, release
 
 MASK = "[secret]"
 KINDS = ["assign", "access", "hex", "weak_access", "account", "weak_secret", "endpoint"]  # strong ones first
@@ -136,6 +136,7 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def _scan(with_text: bool):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             found = [spans_of(t) for t in batch["text"]]
             out = batch.drop(columns="text").assign(spans=[[{"kind": k, "start": s, "stop": e} for s, k, e in f] for f in found])

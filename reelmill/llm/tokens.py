@@ -13,7 +13,7 @@ from tokenizers.models import Model
 
 from reelmill.llm.common import CACHES
 
-CACHE = 500_000  # pieces in each of two generations of a worker's cache, about 100 MB each
+CACHE = 500_000  # pieces in each of two generations of a worker's cache, about 100 MB each; where memory is shared, callers take less
 KEPT = 64  # longer pieces are not kept
 
 # How the two tokenizer files split a text before merging. Only for characters whose class no Unicode version changed.
@@ -32,9 +32,9 @@ _SPACE = chr(_MOVED[0x20])
 class _Known(dict):
     """Ids of known pieces in two generations; a missing piece is looked up in the old one, then encoded."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    def __init__(self, encode: Callable[[str], bytes], most: int = CACHE):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -46,7 +46,7 @@ class _Known(dict):
 
     def age(self) -> None:
         """A full generation becomes the old one."""
-        if len(self) > CACHE:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
@@ -60,12 +60,12 @@ class Encoder:
     encoded whole.
     """
 
-    def __init__(self, path: str, style: str):
+    def __init__(self, path: str, style: str, cache: int = CACHE):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split, self.lower = _SPLITS[style], style == "word"
-        self.known = _Known(partial(_encoded, self.model))  # no reference to the encoder, so that both are freed at once
+        self.known = _Known(partial(_encoded, self.model), cache)  # no reference to the encoder, so that both are freed at once
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         return [self._ids(t or "") for t in texts]
@@ -87,8 +87,8 @@ def _encoded(model: Model, piece: str) -> bytes:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, style: str) -> Encoder:
-    return Encoder(path, style)
+def encoder(path: str, style: str, cache: int = CACHE) -> Encoder:
+    return Encoder(path, style, cache)
 
 
 CACHES.append(encoder.cache_clear)
