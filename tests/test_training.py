@@ -65,3 +65,27 @@ def test_nearest_mean_against_plain_python(spark):
         got = {(r.user_id, r.item_id): r.cf for r in ranking.nearest_mean(*tables, 5, item_block, rows).collect()}
         assert got == pytest.approx(want)
     assert ranking.nearest_mean(tables[0], tables[1].limit(0), tables[2], 5).collect() == []
+
+
+def test_wanted_rows_and_similarities_travel_once(spark):
+    """No copy of a wanted row per block of liked items, none of a similarity per slice of a small table; other columns stay."""
+    wanted = spark.range(4000).selectExpr("id % 40 AS user_id", "id div 40 AS item_id", "id / 7 AS score")
+    liked = spark.range(4000).selectExpr("id % 40 AS user_id", "id div 40 AS hist_id", "1.0D AS weight")
+    similar = spark.range(10_000).selectExpr("id % 100 AS item_id", "id div 100 AS hist_id", "((id % 100 + id div 100) % 10) / 10 AS sim")
+    got = ranking.nearest_mean(wanted, liked, similar, 30, 10, 100)
+    assert got.columns == ["user_id", "item_id", "score", "cf"]
+    rows = got.collect()
+    assert len(rows) == 4000 and all(abs(r.cf - 0.8) < 1e-9 and abs(r.score - (r.item_id * 40 + r.user_id) / 7) < 1e-9 for r in rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2 and "near" not in got.columns and "flatten" not in plan
+
+
+def test_co_strength_sends_a_row_once(spark):
+    pairs = spark.range(3000).selectExpr("id % 50 AS user_id", "id div 50 AS movie_id", "1.0D AS weight")
+    parts = ranking.co_strength(pairs, pairs, item_block=7, user_block=10, step=900, packed=True)
+    assert "explode" not in parts._jdf.queryExecution().optimizedPlan().toString()
+    rows = parts.collect()
+    assert max(len(r.hist_ids) for r in rows) == 7
+    whole = ranking.co_strength(pairs, pairs, item_block=7, user_block=10, step=900).collect()
+    assert len(whole) == 3600 and all(abs(r.dot - 50) < 1e-9 for r in whole)
+    assert abs(sum(sum(r.dots) for r in rows) - 3600 * 50) < 1e-6
