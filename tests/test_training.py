@@ -89,3 +89,12 @@ def test_co_strength_sends_a_row_once(spark):
     whole = ranking.co_strength(pairs, pairs, item_block=7, user_block=10, step=900).collect()
     assert len(whole) == 3600 and all(abs(r.dot - 50) < 1e-9 for r in whole)
     assert abs(sum(sum(r.dots) for r in rows) - 3600 * 50) < 1e-6
+
+
+def test_no_null_lists_go_to_python(spark):
+    """Spark's Arrow writer goes back over null lists for every row of a batch: quadratic in the rows of a batch."""
+    wanted = spark.range(10).selectExpr("id AS user_id", "id AS item_id")
+    liked = spark.range(10).selectExpr("id AS user_id", "id AS hist_id", "1.0D AS weight")
+    similar = spark.range(10).selectExpr("id AS item_id", "id AS hist_id", "0.5D AS sim")
+    plan = ranking.nearest_mean(wanted, liked, similar, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "null AS _ids" not in plan and "null AS _x" not in plan and "[] AS _ids" in plan
