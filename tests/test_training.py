@@ -98,3 +98,28 @@ def test_no_null_lists_go_to_python(spark):
     similar = spark.range(10).selectExpr("id AS item_id", "id AS hist_id", "0.5D AS sim")
     plan = ranking.nearest_mean(wanted, liked, similar, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "null AS _ids" not in plan and "null AS _x" not in plan and "[] AS _ids" in plan
+
+
+def test_group_split_moves_no_row(spark):
+    """The fold of a row follows from the hash of its id and one bound; rows without an id are left out."""
+    rows = spark.range(1000).selectExpr("IF(id % 50 = 7, NULL, id % 50) AS user_id", "id AS movie_id")
+    parts = samples.split(rows, ["user_id", "movie_id"], "user_id", "group")
+    assert "Join" not in parts._jdf.queryExecution().optimizedPlan().toString()
+    folds = {}
+    for r in parts.collect():
+        folds.setdefault(r.user_id, set()).add(r.fold)
+    assert None not in folds and len(folds) == 49 and all(len(f) == 1 for f in folds.values())
+    assert sum(f == {"train"} for f in folds.values()) in (39, 40)
+    shorter = samples.split(rows, ["user_id", "movie_id"], "user_id", "group", ids=rows.select("user_id").distinct())
+    assert sorted(map(str, shorter.collect())) == sorted(map(str, parts.collect()))
+
+
+def test_negatives_of_a_user_in_one_row(spark):
+    """A row per user draws what chunks of draws give: few movies, short pools, movies outside the pool, absent users."""
+    draw = random.Random(5)
+    pairs = {(u, draw.randrange(1, 400)) for u in range(30) for _ in range(draw.choice([1, 5, 60, 700]))} | {(1, -3), (2, -3), (2, -4), (None, 5)}
+    positives = spark.createDataFrame(sorted(pairs, key=str), "user_id long, movie_id long")
+    found = [sorted(tuple(r) for r in samples.global_negatives(positives, row_movies=n).collect()) for n in (0, 30, 10_000)]
+    assert found[0] and found[0] == found[1] == found[2]
+    plan = samples.global_negatives(positives)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "Window" not in plan
