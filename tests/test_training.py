@@ -123,3 +123,18 @@ def test_negatives_of_a_user_in_one_row(spark):
     assert found[0] and found[0] == found[1] == found[2]
     plan = samples.global_negatives(positives)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and "Window" not in plan
+
+
+def test_equal_rows_are_fitted_once(spark):
+    """Equal rows of features and labels are one weighted row; the model is that of the single rows; labels travel with the scores."""
+    rows = spark.range(3000).selectExpr("id AS user_id", "id AS movie_id", "double(id % 7) AS x", "double(id % 5) AS z",
+                                        "int(id % 7 + id % 3 > 4) AS click", "int(id % 11 = 0) AS rating")
+    once = ranking.merged(rows, ["x", "z"], ["click", "rating"])
+    assert once.count() <= 7 * 5 * 4 and once.agg(F.sum("n_equal")).first()[0] == 3000
+    ranker = ranking.fit_multitask(rows, ["x", "z"], ["click", "rating"])
+    spread_out = ranking.fit_multitask(rows.withColumn("n_equal", F.lit(1)), ["x", "z"], ["click", "rating"])
+    for one, other in zip(ranker.model.stages[1:], spread_out.model.stages[1:]):
+        assert list(one.coefficients) == pytest.approx(list(other.coefficients), abs=1e-4)
+    scored = ranker.score(rows, ["click", "rating"])
+    assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.item_id, r.click) for r in scored.collect()) == sorted((r.movie_id, r.click) for r in rows.collect())
