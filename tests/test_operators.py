@@ -409,3 +409,19 @@ def test_vector_blocks_bound_the_memory_of_a_task(spark, monkeypatch):
     monkeypatch.setattr(knn_module, "CELLS", 30)
     monkeypatch.setattr(knn_module, "BEST_ROWS", 40)
     assert sorted(tuple(r) for r in knn_module.knn(queries, corpus, 4).select("query_id", "item_id", "rank").collect()) == want
+
+
+def test_search_reads_texts_once(spark, tmp_path, monkeypatch):
+    """Texts are split once and nothing but found tokens is shuffled towards the requests; hits of title and summary stay apart."""
+    movies = spark.createDataFrame(
+        [(1, "Blue lake", "red lake house", 5), (2, "red", None, 2), (3, None, "blueish red", 0), (4, "green", "a redder_x", 1)],
+        "movie_id long, title string, summary string, rating_count int")
+    requests = spark.createDataFrame([(1, "red"), (2, "lake BLUE"), (3, "blue  lake"), (4, "r_d"), (5, "none")], "request_id int, query string")
+    written = []
+    real = search.stored
+    monkeypatch.setattr(search, "stored", lambda df, name: (written.append(name), real(df, name))[1])
+    got = {(r.request_id, r.movie_id): r.score for r in search.like_scores(movies, requests).collect()}
+    assert written == ["movies", "words", "tokens", "matched"]
+    assert got == pytest.approx({
+        (1, 1): 5 + 5e-4, (1, 2): 12 + 2e-4, (1, 3): 5, (1, 4): 5 + 1e-4, (2, 1): 4 + 5e-4, (3, 1): 4 + 5e-4,
+        (4, 1): 5 + 5e-4, (4, 2): 12 + 2e-4, (4, 3): 5, (4, 4): 5 + 1e-4})
