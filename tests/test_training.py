@@ -138,3 +138,11 @@ def test_equal_rows_are_fitted_once(spark):
     scored = ranker.score(rows, ["click", "rating"])
     assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.item_id, r.click) for r in scored.collect()) == sorted((r.movie_id, r.click) for r in rows.collect())
+
+
+def test_trees_read_even_parts(spark):
+    """Rows of few or uneven parts are dealt out again: no part holds more than its share."""
+    rows = spark.range(0, 9000, 1, 1).selectExpr("id AS user_id", "double(id % 7) AS x", "int(id % 7 > 3) AS label")
+    sizes = ranking.even_parts(rows, 500).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(sizes) == 18 and max(r["count"] for r in sizes) <= 550
+    assert ranking.fit_gbt(rows, ["x"], rounds=2).score(rows.withColumn("movie_id", F.col("user_id"))).count() == 9000
