@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelmill.functions.hashing import codes
-from reelmill.operators import delivery, ranking
+from reelmill.operators import delivery, features, interactions, ranking, samples
 from reelmill.operators.recall import TagRecall, merge_candidates
-from reelmill.plans.queries import QUERIES
+from reelmill.plans import training
+from reelmill.plans.queries import QUERIES, _merged_once
+from reelmill.session import cut_lineage
 from tests.conftest import SF
 
 
@@ -68,3 +70,42 @@ def test_slices_of_one_recaller(spark, parts):
     assert rows_of(alone.frame()) == rows_of(recaller.recall(requests))
     nobody = TagRecall(recaller.index, recaller.prefs.filter("false"), recaller.excluded)
     assert rows_of(merge_candidates([nobody.sliced(requests), other]).frame()) == rows_of(other.filter(F.col("user_id").isNotNull()))
+
+
+@pytest.fixture(scope="module")
+def both(cat):
+    """The candidates in slices and as rows."""
+    sliced = _merged_once(cat)
+    rows = sliced.frame().select("user_id", F.col("item_id").alias("movie_id"), F.col("score").alias("recall_score"), "source")
+    return sliced, cut_lineage(rows)
+
+
+def near(got, want):
+    one, other = ({(r.user_id, r.item_id): (r.score, r.reason) for r in df.toLocalIterator()} for df in (got, want))
+    assert one.keys() == other.keys() and len(one) > 1000
+    assert all(one[k][1] == other[k][1] and one[k][0] == pytest.approx(other[k][0], abs=1e-12) for k in one)
+    assert len({round(v[0], 6) for v in one.values()}) > 10
+
+
+def test_trees_in_slices(cat, both):
+    ranker = training.train_binary(cat, rounds=6).ranker
+    got, want = (ranker.rank(features.rank_matrix(cat, c, "binary")) for c in both)
+    assert "Exchange" not in got.frame()._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    near(got.frame(), want)
+
+
+def test_regressions_in_slices(cat, both):
+    names = features.MULTITASK_FEATURES
+    matrix = cut_lineage(features.rank_matrix(cat, samples.with_negatives(interactions.multitask_labels(interactions.interactions(cat))), "multitask"))
+    scaled = cut_lineage(features.fit_zscore(matrix, names, [n for n in names if n.startswith("src_")]))
+    ranker = ranking.fit_multitask(features.apply_zscore(matrix, scaled, names), names, training.TASKS)
+    got, want = (ranker.rank(features.apply_zscore(features.rank_matrix(cat, c, "multitask"), scaled, names)) for c in both)
+    near(got.frame(), want)
+
+
+def test_click_shares_in_slices(cat, both):
+    sliced, rows = both
+    matrix = features.rank_matrix(cat, sliced, "multitask").then(lambda r: r, user_static_tag_ctr="double", movie_year="double", movie_click_count="double")
+    names = ["user_id", "movie_id", "user_static_tag_ctr", "movie_year", "movie_click_count"]
+    got, want = (rows_of(df.select(*names)) for df in (matrix.frame(), features.rank_matrix(cat, rows, "multitask")))
+    assert got == want and any(r[3] > 0 for r in got)
