@@ -138,3 +138,9 @@ def test_a_slice_is_a_partition(spark, parts):
         assert len(slices) == n and rows.distinct().count() == n
     recaller, requests, _ = parts
     assert "REPARTITION_BY_NUM" in recaller.sliced(requests).frame()._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("key", ["rank_item_cf", "recommend_users"])
+def test_ranked_candidates_leave_their_slice_once(spark, key):
+    plan = QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")] and plan.count("FlatMapGroupsInArrow") >= 1
